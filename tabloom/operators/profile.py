@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.columns import is_missing, long_rows, numeric_columns, present, ref, string_columns
 from tabloom.operators.quantiles import exact_percentiles
-from tabloom.operators.ranks import group_rank, running_totals
+from tabloom.operators.ranks import dense_index, running_totals
 
 MINIMAL_ROWS = 10_000
 HEALTH_ALERT_PCT = 5.0
@@ -316,7 +316,7 @@ def entry_defaults(df: DataFrame, exclude: list[str] | None = None) -> DataFrame
             F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), ref(c).alias("option")) for c in strings]))
         )
         options = pairs.where(F.col("option").isNotNull()).distinct()
-        ranked = group_rank(options, ["feature"], [F.col("option")], "position")
+        ranked = dense_index(options, ["feature"], [F.col("option")], "position")
         parts.append(ranked.select("feature", "position", none.cast("double").alias("median"), "option"))
     out = parts[0]
     for p in parts[1:]:

@@ -67,8 +67,30 @@ def group_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "r
     )
 
 
-def running_totals(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
-    """Totals over all rows before the current one; `df` has one row per distinct `order` value."""
+def dense_index(df: DataFrame, by: list[str], order: list[Column], name: str, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """`group_rank` for lookup tables: a plain window when the table is checked to be small."""
+    side, small = small_side(df, max_rows)
+    if small:
+        return side.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    return group_rank(df, by, order, name)
+
+
+def running_totals(
+    df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, max_rows: int = SMALL_SIDE_ROWS
+) -> DataFrame:
+    """Totals over all earlier rows (of the group); `df` has one row per distinct (group, `order`) value."""
+    by = by or []
+    side, small = small_side(df, max_rows)
+    if small:
+        earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return side.withColumns({out: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for out, c in sums.items()})
+    if by:
+        totals = running_totals(_flat(df, by, order), "_flat", sums, None, max_rows).drop("_flat")
+        starts = totals.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(*[F.min(o).alias(f"_s_{o}") for o in sums])
+        on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+        joined = join_lookup(totals, starts, on)
+        joined = joined.withColumns({o: F.col(o) - F.col(f"_s_{o}") for o in sums})
+        return joined.drop(*[f"_b_{c}" for c in by], *[f"_s_{o}" for o in sums])
     fixed = _range_sorted(df, [F.col(order)])
     offsets = _range_offsets(fixed, {f"_off_{out}": F.col(c) for out, c in sums.items()})
     placed = fixed.withColumn("_part", F.shiftright("_slot", 33)).join(F.broadcast(offsets), "_part")
@@ -78,6 +100,10 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame
     return placed.drop("_part", "_slot", *[f"_off_{out}" for out in sums])
 
 
+def _flat(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    return df.withColumn("_flat", F.struct(*[F.col(c) for c in by], F.col(order)))
+
+
 def with_hash(df: DataFrame, key: Column, seed: int) -> DataFrame:
     hashed = df.withColumn("_key", key.cast("string")).withColumn("_hash", seeded_hash(F.col("_key"), seed))
     return hashed.withColumn("_slice", F.shiftright("_hash", HASH_BITS - SLICE_BITS))

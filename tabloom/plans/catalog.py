@@ -2,5 +2,8 @@
 
 from tabloom.plans import (  # noqa: F401
     q_profile,
+    q_clean,
+    q_split,
+    q_encode,
 )
 from tabloom.plans.registry import QUERIES, SQL  # noqa: F401
