@@ -31,13 +31,20 @@ def tokens(c: Column, stop_words: list[str]) -> Column:
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All runs of `low` to `high` neighbouring tokens, joined by a blank."""
-    runs = [words] if low == 1 else []
-    for n in range(max(2, low), high + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+
+    def runs(w: Column) -> Column:
+        parts = [w] if low == 1 else []
+        joined = w
+        for n in range(2, high + 1):
+            # Runs of n are runs of n - 1, each with the token that follows it.
+            room = F.greatest(F.size(w) - (n - 1), F.lit(0))
+            joined = F.zip_with(F.slice(joined, F.lit(1), room), F.slice(w, F.lit(n), room), lambda a, b: F.concat_ws(" ", a, b))
+            if n >= low:
+                parts.append(joined)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    # The lambda variable holds the tokens, so they are computed once per row.
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def any_word(c: Column, words: list[str]) -> Column:

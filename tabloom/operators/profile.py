@@ -49,7 +49,7 @@ def columns_per_type(df: DataFrame) -> DataFrame:
 def missing_pct(df: DataFrame) -> DataFrame:
     """Share of missing values per column in percent, largest first."""
     rows = [
-        F.struct(F.lit(c).alias("column"), (100.0 * F.col(f"m{i}") / F.col("n")).alias("missing_pct"))
+        F.struct(F.lit(c).alias("column"), F.try_divide(100.0 * F.col(f"m{i}"), F.col("n")).alias("missing_pct"))
         for i, c in enumerate(df.columns)
     ]
     return long_rows(_missing_counts(df), rows).orderBy(F.desc("missing_pct"), "column")
@@ -108,14 +108,14 @@ def overview(df: DataFrame) -> DataFrame:
     cells = F.lit(0).cast("long")
     for i in range(len(names)):
         cells = cells + F.col(f"m{i}")
-    pct = 100.0 * cells / (F.col("n_rows") * len(names))
+    pct = F.try_divide(100.0 * cells, F.col("n_rows") * len(names))
     return one.select(
         "n_rows",
         F.lit(len(names)).cast("long").alias("n_columns"),
         pct.alias("mean_missing_pct"),
         cells.alias("missing_cells"),
         (F.col("bytes") / 1048576.0).alias("size_mb"),
-        (pct > HEALTH_ALERT_PCT).cast("int").alias("health_alert"),
+        F.coalesce(pct > HEALTH_ALERT_PCT, F.lit(False)).cast("int").alias("health_alert"),
     )
 
 
@@ -242,7 +242,7 @@ def class_imbalance(df: DataFrame, name: str) -> DataFrame:
         F.count("*").alias("n_classes"),
         F.max("n").alias("largest"),
         F.min("n").alias("smallest"),
-        (F.max("n") / F.min("n")).alias("imbalance_ratio"),
+        F.try_divide(F.max("n"), F.min("n")).alias("imbalance_ratio"),
     )
 
 

@@ -5,5 +5,7 @@ from tabloom.plans import (  # noqa: F401
     q_clean,
     q_split,
     q_encode,
+    q_metrics,
+    q_tracking,
 )
 from tabloom.plans.registry import QUERIES, SQL  # noqa: F401
