@@ -7,5 +7,7 @@ from tabloom.plans import (  # noqa: F401
     q_encode,
     q_metrics,
     q_tracking,
+    q_logs,
+    q_sources,
 )
 from tabloom.plans.registry import QUERIES, SQL  # noqa: F401
