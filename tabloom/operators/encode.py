@@ -55,7 +55,7 @@ class CategoryIndex:
 
     def decode(self, df: DataFrame, column: str, number: str, name: str) -> DataFrame:
         """Number back to the label when it is one of 0..k-1, else its text unchanged."""
-        joined = join_lookup(df, self.lookup(column), F.floor(ref(number)) == F.col("_idx"), "left")
+        joined = join_lookup(df, self.lookup(column), ref(number).try_cast("long") == F.col("_idx"), "left")
         return joined.withColumn(name, F.coalesce("_value", ref(number).cast("string"))).drop("_value", "_idx")
 
 

@@ -9,5 +9,6 @@ from tabloom.plans import (  # noqa: F401
     q_tracking,
     q_logs,
     q_sources,
+    q_models,
 )
 from tabloom.plans.registry import QUERIES, SQL  # noqa: F401
