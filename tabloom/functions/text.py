@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,7 +50,12 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 def any_word(c: Column, words: list[str]) -> Column:
     """True when lower-case text contains one of the words."""
-    return F.lower(c).rlike("|".join(re.escape(w) for w in words))
+    return has_word(F.lower(c), words)
+
+
+def has_word(lower: Column, words: list[str]) -> Column:
+    """True when the (already lower-case) text contains one of the words; plain scans stay in generated code."""
+    return reduce(or_, [F.contains(lower, F.lit(w)) for w in words])
 
 
 def line_class(line: Column) -> Column:

@@ -6,14 +6,12 @@ The row-wise functions take batch and streaming tables alike; their stateful str
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions.fixed import RUN_STEPS
-from tabloom.functions.text import any_word, clean_line, escape_markup, line_class
+from tabloom.functions.text import any_word, clean_line, escape_markup, has_word, line_class
 from tabloom.operators.ranks import join_lookup
 
 TAIL_LINES = 80
@@ -51,7 +49,7 @@ def _last_step(line: Column, family: Column, which: int) -> Column:
     for name, steps in RUN_STEPS.items():
         hit = None
         for i in reversed(range(len(steps))):
-            found = line.rlike("|".join(re.escape(w) for w in steps[i][which]))
+            found = has_word(line, steps[i][which])
             hit = F.when(found, i) if hit is None else hit.when(found, i)
         result = F.when(family == name, hit) if result is None else result.when(family == name, hit)
     return result

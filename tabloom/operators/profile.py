@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.columns import is_missing, long_rows, numeric_columns, present, ref, string_columns
 from tabloom.operators.quantiles import exact_percentiles
-from tabloom.operators.ranks import dense_index, running_totals
+from tabloom.operators.ranks import dense_index, join_lookup, running_totals
 
 MINIMAL_ROWS = 10_000
 HEALTH_ALERT_PCT = 5.0
@@ -214,7 +214,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         return before.select(name, (F.col("before") + (F.col("c") + 1) / 2.0).alias(f"r{name}"))
 
     total = pairs.agg(F.sum("w").alias("n")).scalar()
-    ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y").withColumn("n", total)
+    ranked = join_lookup(join_lookup(pairs, ranks("x"), "x"), ranks("y"), "y").withColumn("n", total)
     dx, dy = (F.col(r) - (F.col("n") + 1) / 2.0 for r in ("rx", "ry"))
     sums = ranked.agg(
         F.sum(F.col("w") * dx * dy).alias("xy"),

@@ -26,10 +26,31 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> tuple[DataFram
     return df, False
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, on, how: str = "inner", max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Join to a lookup table: broadcast only after its size is checked, else a shuffled join (AQE splits skew)."""
+SALTS = 16
+
+
+def join_lookup(
+    big: DataFrame, lookup: DataFrame, on, how: str = "inner", max_rows: int = SMALL_SIDE_ROWS, salts: int = SALTS
+) -> DataFrame:
+    """Join a table of any skew to a lookup table with one row per key.
+
+    Up to `max_rows` lookup rows (checked) the lookup is broadcast. Beyond that it is repeated once per
+    salt and joined on key and salt, where the salt of a row is its input partition: a key that holds a
+    third of all rows is spread over `salts` tasks, also when an aggregation by the same key follows.
+    """
     side, small = small_side(lookup, max_rows)
-    return big.join(F.broadcast(side) if small else side, on, how)
+    if small:
+        return big.join(F.broadcast(side), on, how)
+    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    copies = side.withColumn("_salt_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if isinstance(on, str):
+        on = [on]
+    if isinstance(on, list) and all(isinstance(c, str) for c in on):
+        joined = salted.join(copies.withColumnRenamed("_salt_copy", "_salt"), [*on, "_salt"], how)
+    else:
+        conditions = on if isinstance(on, list) else [on]
+        joined = salted.join(copies, [*conditions, F.col("_salt") == F.col("_salt_copy")], how)
+    return joined.drop("_salt", "_salt_copy")
 
 
 def _range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from tabloom.plans.derived import runs
 from tabloom.plans.registry import query
 from tabloom.operators import tracking
 from tabloom.session import scratch_path
-from tabloom.sources import snapshots, tables
+from tabloom.sources import images, snapshots, tables
 
 
 @query("a1_read_table", "select c_custkey::int as c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
@@ -88,3 +88,24 @@ def a10(t):
     path = scratch_path(t.spark, "leaderboard") + ".parquet"
     tables.write_leaderboard(tracking.leaderboard(board, "rmse", "rmse", ["experiment"], "model", 5), path)
     return tables.read_table(t.spark, path)
+
+
+def _image_tree(t) -> str:
+    """A folder of small .png files, one sub-folder per label, written from the embeddings (5 vectors a file)."""
+    folder = scratch_path(t.spark, "images")
+    vectors = t.embeddings.select("label", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ";").alias("v"))
+    spread = vectors.repartition("label").sortWithinPartitions("label", "v")
+    spread.write.partitionBy("label").option("extension", "png").option("maxRecordsPerFile", 5).csv(folder)
+    return folder
+
+
+@query("a3_image_index", "select 'label=' || label as label, ((count(*) + 4) // 5)::bigint as n_images from embeddings group by label")
+def a3(t):
+    return images.images_per_label(images.image_index(t.spark, _image_tree(t)))
+
+
+@query("a8_image_set_fingerprint", "select sum((n + 4) // 5)::bigint as n_rows, 1::bigint as n_prints from (select count(*) as n from embeddings group by label)")
+def a8(t):
+    folder = _image_tree(t)
+    twice = images.image_set_fingerprint(t.spark, folder).unionByName(images.image_set_fingerprint(t.spark, folder))
+    return twice.groupBy("n_rows").agg(F.count_distinct("fingerprint").alias("n_prints"))

@@ -32,6 +32,17 @@ STATE_SCHEMA = "status string, error string, finished_at timestamp_ntz, last_seq
 STATUS_OF = {"result_ok": "completed", "result_fail": "failed", "cancel": "cancelled", "worker_end": "failed"}
 
 
+def _decisive(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows that can still decide a run: first start, first result, and endings before that result."""
+    result = rows["kind"].isin(["result_ok", "result_fail"])
+    first_result = rows.loc[result, "seq"].min()
+    first_start = rows.loc[rows["kind"] == "start", "seq"].min()
+    ending = rows["kind"].isin(["cancel", "worker_end"])
+    if pd.notna(first_result):
+        ending &= rows["seq"] < first_result
+    return rows.loc[ending | (rows["seq"] == first_start) | (rows["seq"] == first_result)]
+
+
 def _advance(timeout_ms: int | None):
     """State function of one run; closed over the timeout only."""
 
@@ -43,9 +54,14 @@ def _advance(timeout_ms: int | None):
                 status, error = "failed", UNEXPECTED_END
             state.remove()
         else:
-            rows = pd.concat([b.loc[b["seq"] > last, ["seq", "ts", "kind"]] for b in batches]).sort_values("seq")
-            for row in rows.itertuples(index=False):
-                last = int(row.seq)
+            rows, newest, seen = None, last, 0
+            for b in batches:
+                new = b.loc[b["seq"] > last, ["seq", "ts", "kind"]]
+                if len(new):
+                    newest = max(newest, int(new["seq"].max()))
+                    seen = max(seen, int(new["ts"].max().timestamp() * 1000))
+                    rows = _decisive(new if rows is None else pd.concat([rows, new]))
+            for row in [] if rows is None else rows.sort_values("seq").itertuples(index=False):
                 if status not in ("queued", "running"):
                     continue
                 if row.kind == "start":
@@ -53,9 +69,9 @@ def _advance(timeout_ms: int | None):
                 elif row.kind in ("result_ok", "result_fail") or (row.kind in STATUS_OF and status == "running"):
                     status, finished = STATUS_OF[row.kind], row.ts
                     error = UNEXPECTED_END if row.kind == "worker_end" else None
+            last = newest
             state.update((status, error, finished, last))
-            if timeout_ms is not None and len(rows):
-                seen = int(rows["ts"].max().timestamp() * 1000)
+            if timeout_ms is not None and seen:
                 state.setTimeoutTimestamp(max(seen + timeout_ms, state.getCurrentWatermarkMs() + 1))
         stamp = pd.Series([pd.NaT if finished is None else finished], dtype="datetime64[ns]")
         yield pd.DataFrame(
