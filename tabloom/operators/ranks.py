@@ -217,29 +217,35 @@ def order_statistics(
         for label in labels:
             t = open_[label]
             share = (t["rank"] - t["below"]) / t["size"]
-            pair = [max(0.0, share - 2.0 / accuracy), min(1.0, share + 2.0 / accuracy)]
-            asks.append(F.percentile_approx(F.when(inside(t), F.col(t["col"])), pair, accuracy).alias(label))
-        brackets = df.agg(*asks).first()
+            shares = [max(0.0, share - 2.0 / accuracy), share, min(1.0, share + 2.0 / accuracy)]
+            asks.append(F.percentile_approx(F.when(inside(t), F.col(t["col"])), shares, accuracy).alias(label))
+        pivots = {k: sorted(set(v)) for k, v in df.agg(*asks).first().asDict().items()}
         counts = []
         for label in labels:
             t = open_[label]
-            lo, hi = (literal(v, types[t["col"]]) for v in brackets[label])
             c = F.col(t["col"])
-            counts.append(F.count_if(inside(t) & (c < lo)).alias(f"{label}_lt"))
-            counts.append(F.count_if(inside(t) & (c <= hi)).alias(f"{label}_le"))
-            counts.append(F.max(F.when(inside(t) & (c < lo), c)).alias(f"{label}_prev"))
-            counts.append(F.min(F.when(inside(t) & (c > hi), c)).alias(f"{label}_next"))
+            for i, v in enumerate(pivots[label]):
+                lit = literal(v, types[t["col"]])
+                counts.append(F.count_if(inside(t) & (c < lit)).alias(f"{label}_lt{i}"))
+                counts.append(F.count_if(inside(t) & (c <= lit)).alias(f"{label}_le{i}"))
+                counts.append(F.max(F.when(inside(t) & (c < lit), c)).alias(f"{label}_prev{i}"))
+                counts.append(F.min(F.when(inside(t) & (c > lit), c)).alias(f"{label}_next{i}"))
         got = df.agg(*counts).first()
         for label in labels:
-            t = open_[label]
-            lt, le, want = got[f"{label}_lt"], got[f"{label}_le"], t["rank"] - t["below"]
-            if want <= lt:
-                t["hi"], t["size"] = got[f"{label}_prev"], lt
-            elif want > le:
-                t["lo"], t["below"], t["size"] = got[f"{label}_next"], t["below"] + le, t["size"] - le
-            else:
-                t["lo"], t["hi"] = brackets[label]
-                t["below"], t["size"] = t["below"] + lt, le - lt
+            # Every round settles the pivots themselves, so the bracket shrinks even among heavy ties.
+            t, want = open_[label], open_[label]["rank"] - open_[label]["below"]
+            lo, hi, low_count, high_count = t["lo"], t["hi"], 0, t["size"]
+            for i, v in enumerate(pivots[label]):
+                lt, le = got[f"{label}_lt{i}"], got[f"{label}_le{i}"]
+                if want <= lt:
+                    hi, high_count = got[f"{label}_prev{i}"], lt
+                    break
+                if want <= le:
+                    lo = hi = v
+                    break
+                lo, low_count = got[f"{label}_next{i}"], le
+            t["lo"], t["hi"] = lo, hi
+            t["below"], t["size"] = t["below"] + low_count, high_count - low_count
     return found
 
 
