@@ -364,16 +364,20 @@ def predict_multi(models: dict[str, TrainedModel], df: DataFrame) -> DataFrame:
 
 
 class Clusters:
-    """k-means; assigns `Cluster i`."""
+    """k-means, the cheapest of several starts; assigns `Cluster i`."""
 
     def __init__(self, model, silhouette: float):
         self.model, self.silhouette = model, silhouette
 
     @classmethod
-    def fit(cls, df: DataFrame, k: int = 4, features: str = "features", seed: int = SEED) -> "Clusters":
-        model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_c").fit(df)
+    def fit(cls, df: DataFrame, k: int = 4, features: str = "features", seed: int = SEED, starts: int = 4) -> "Clusters":
+        points = df.select(features).cache()
+        fits = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_c").fit(points) for i in range(starts)]
+        model = min(fits, key=lambda m: m.summary.trainingCost)
         evaluator = ClusteringEvaluator(featuresCol=features, predictionCol="_c")
-        return cls(model, evaluator.evaluate(model.transform(df)) if k > 1 else 0.0)
+        silhouette = evaluator.evaluate(model.transform(points)) if k > 1 else 0.0
+        points.unpersist()
+        return cls(model, silhouette)
 
     def assign(self, df: DataFrame, name: str = "Cluster") -> DataFrame:
         return self.model.transform(df).withColumn(name, F.concat(F.lit("Cluster "), F.col("_c").cast("string"))).drop("_c")

@@ -16,7 +16,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(image, label) of every image below the folder; the label is the parent directory. File bytes are not read."""
+    """(image, label) of every image below the folder; the label is the parent directory. File bytes are not read; empty files are not listed."""
     parts = F.split("path", "/")
     return _files(spark, folder).select(F.col("path").alias("image"), F.element_at(parts, -2).alias("label"), "length")
 

@@ -56,10 +56,10 @@ def _advance(timeout_ms: int | None):
         else:
             rows, newest, seen = None, last, 0
             for b in batches:
-                new = b.loc[b["seq"] > last, ["seq", "ts", "kind"]]
+                new = b.loc[b["seq"] > last]
                 if len(new):
                     newest = max(newest, int(new["seq"].max()))
-                    seen = max(seen, int(new["ts"].max().timestamp() * 1000))
+                    seen = max(seen, int(new["millis"].max()))
                     rows = _decisive(new if rows is None else pd.concat([rows, new]))
             for row in [] if rows is None else rows.sort_values("seq").itertuples(index=False):
                 if status not in ("queued", "running"):
@@ -90,11 +90,13 @@ def run_status_stream(events: DataFrame, timeout_minutes: int | None = None, lat
     """
     kinds = ["start", *STATUS_OF]
     relevant = events.where(F.col("kind").isin(kinds)).select("run_key", "seq", "ts", "kind")
+    relevant = relevant.withColumn("event_time", F.col("ts").cast("timestamp"))
+    relevant = relevant.withColumn("millis", F.unix_millis("event_time"))
     if timeout_minutes is None:
         mode, timeout_ms = GroupStateTimeout.NoTimeout, None
     else:
         mode, timeout_ms = GroupStateTimeout.EventTimeTimeout, timeout_minutes * 60_000
-        relevant = relevant.withWatermark("ts", lateness)
+        relevant = relevant.withWatermark("event_time", lateness)
     return relevant.groupBy("run_key").applyInPandasWithState(
         _advance(timeout_ms), STATUS_SCHEMA, STATE_SCHEMA, "update", mode
     )
