@@ -47,13 +47,19 @@ def literal(value, data_type) -> Column:
     return F.lit(repr(value) if isinstance(value, float) else str(value)).cast(data_type)
 
 
-HASH_BITS = 28
+def seeded_digest(key: Column, seed: int) -> Column:
+    """Seven hex digits of md5(key|seed): a reproducible order, uniform over distinct keys."""
+    return F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 7)
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
-    """First 28 bits of md5(key|seed): a reproducible order, uniform over distinct keys."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
-    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
+    """The same 28 bits as a number."""
+    return F.conv(seeded_digest(key, seed), 16, 10).cast("long")
+
+
+def short_form(c: Column) -> Column:
+    """The value itself when short, else its SHA-256: long texts are compared without being shuffled."""
+    return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
 
 
 def row_key(*names: str) -> Column:

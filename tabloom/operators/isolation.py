@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.operators.quantiles import exact_percentiles
-from tabloom.session import pin
+from tabloom.session import pin, spread
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 
@@ -73,7 +73,7 @@ class IsolationForest:
         A first hash keeps a pool of some 8 * trees * sample rows, a second one per tree draws from it, and
         the `sample` smallest hashes of each tree are used.
         """
-        rows = df.select(features.alias("_x"), key.cast("string").alias("_key"))
+        rows = spread(df.select(features.alias("_x"), key.cast("string").alias("_key")))
         n = rows.count()
         wide = 1 << 62
         unit = F.xxhash64(F.col("_key"), F.lit(seed)).bitwiseAND(F.lit(wide - 1))
@@ -117,7 +117,7 @@ class IsolationForest:
 
     def assign(self, df: DataFrame, features: Column, contamination: float = 0.05) -> DataFrame:
         """Adds `Anomaly_Score` and `Anomaly`: 1 above the exact (1 - contamination) percentile of the scores."""
-        scored = self.score(df, features)
+        scored = self.score(spread(df), features)
         stored = pin(scored.select("Anomaly_Score"))
         cut = exact_percentiles(stored, {"Anomaly_Score": [1 - contamination]})["Anomaly_Score"][0]
         return scored.withColumn("Anomaly", (F.col("Anomaly_Score") > F.lit(cut)).cast("int"))

@@ -36,6 +36,7 @@ from tabloom.operators.roles import detect_problem_type, infer_multimodal
 from tabloom.operators.split import kfold_assign
 
 SEED = 42
+FEW_ROWS = 5_000_000
 Candidate = Callable[[int], object]
 
 # Metric by which candidates are ranked, per task.
@@ -172,7 +173,7 @@ def candidates_for(task: str, labels: CategoryIndex | None, include=None, exclud
     return regressors(include, exclude, **params)
 
 
-def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 4) -> dict[str, object]:
+def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 8) -> dict[str, object]:
     """Fit every candidate; fits are submitted side by side so that small ones share the cluster."""
 
     def fit(item):
@@ -183,10 +184,14 @@ def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED,
 
 
 def cross_validate(
-    encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 4
+    encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8
 ) -> DataFrame:
     """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate."""
-    folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed).cache()
+    folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
+    if encoded.count() <= FEW_ROWS:
+        # Adaptive execution would leave a small table in one partition, and every fit in one task.
+        folds = folds.repartition(folds.sparkSession.sparkContext.defaultParallelism)
+    folds = folds.cache()
     folds.count()
 
     def one(job):
@@ -251,7 +256,7 @@ def draw_settings(family: str, n_iter: int, seed: int = SEED) -> list[dict]:
 
 def random_search(
     encoded: DataFrame, key: str, family: str, maker: Candidate, task: str, time_limit: float | None = None, k: int = 3,
-    n_iter: int | None = None, metric: str | None = None, seed: int = SEED, parallelism: int = 4,
+    n_iter: int | None = None, metric: str | None = None, seed: int = SEED, parallelism: int = 8,
 ) -> tuple[DataFrame, str, dict]:
     """Cross-validated random search around one family; the untuned model is kept unless a setting beats it.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import is_missing, long_rows, numeric_columns, present, ref, string_columns
+from tabloom.functions.columns import is_missing, long_rows, numeric_columns, present, ref, short_form, string_columns
 from tabloom.operators.quantiles import exact_percentiles
 from tabloom.operators.ranks import dense_index, join_lookup, running_totals
 
@@ -62,7 +62,10 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 def _distinct(df: DataFrame, name: str, rsd: float | None) -> Column:
-    return F.count_distinct(present(df, name)) if rsd is None else F.approx_count_distinct(present(df, name), rsd)
+    value = present(df, name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        value = short_form(value)
+    return F.count_distinct(value) if rsd is None else F.approx_count_distinct(value, rsd)
 
 
 def column_summary(df: DataFrame, rsd: float | None = None) -> DataFrame:

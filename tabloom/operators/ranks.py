@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.functions.columns import HASH_BITS, literal, seeded_hash
-from tabloom.session import pin
+from tabloom.functions.columns import literal, seeded_digest
+from tabloom.session import pin, spread
 
-SLICE_BITS = 16
+SLICE_DIGITS = 4  # hex digits: 65,536 slices
 SMALL_SIDE_ROWS = 100_000
 
 
@@ -126,8 +126,9 @@ def _flat(df: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def with_hash(df: DataFrame, key: Column, seed: int) -> DataFrame:
-    hashed = df.withColumn("_key", key.cast("string")).withColumn("_hash", seeded_hash(F.col("_key"), seed))
-    return hashed.withColumn("_slice", F.shiftright("_hash", HASH_BITS - SLICE_BITS))
+    """Adds `_key`, its seeded digest `_hash` (hex text sorts like the number) and the digest's slice."""
+    keyed = spread(df).withColumn("_key", key.cast("string")).withColumn("_hash", seeded_digest(F.col("_key"), seed))
+    return keyed.withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
 
 
 def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: str) -> DataFrame:
@@ -148,20 +149,22 @@ def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: st
     )
 
 
-def hash_cut(hashed: DataFrame, by: list[str], take: Column) -> DataFrame:
-    """Per group the last (hash, key) of its first `take` rows in seeded order.
+def hash_cuts(hashed: DataFrame, by: list[str], takes: dict[str, Column]) -> DataFrame:
+    """Per group and named cut the last (hash, key) of the group's first rows in seeded order.
 
-    `take` is an expression over `_n`, the group size. Only counts per slice are shuffled, then the rows
-    of the one slice per group in which the cut falls.
+    Each value of `takes` is a row count as an expression over `_n`, the group size. Only counts per slice
+    are shuffled, then the rows of the one slice per group in which a cut falls.
     """
     part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     sizes = hashed.groupBy(*by, "_slice").agg(F.count("*").alias("_size"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_cut"), take.alias("_take")) for name, take in takes.items()])
     edges = (
         sizes.withColumn("_n", F.sum("_size").over(part))
         .withColumn("_upto", F.sum("_size").over(part.orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_take", take)
+        .select("*", F.inline(wanted))
         .where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_size") < F.col("_take")))
         .select(
+            "_cut",
             *[F.col(c).alias(f"_e_{c}") for c in by],
             F.col("_slice").alias("_e_slice"),
             (F.col("_take") - F.col("_upto") + F.col("_size")).alias("_need"),
@@ -169,9 +172,10 @@ def hash_cut(hashed: DataFrame, by: list[str], take: Column) -> DataFrame:
     )
     on = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by] + [F.col("_slice") == F.col("_e_slice")]
     members = join_lookup(hashed.select(*by, "_slice", "_hash", "_key"), edges, on)
-    ordered = members.withColumn("_place", F.row_number().over(part.orderBy("_hash", "_key")))
-    return ordered.where(F.col("_place") == F.col("_need")).select(
-        *[F.col(c).alias(f"_c_{c}") for c in by], F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")
+    inside = W.partitionBy("_cut", *by).orderBy("_hash", "_key")
+    placed = members.withColumn("_place", F.row_number().over(inside))
+    return placed.where(F.col("_place") == F.col("_need")).select(
+        "_cut", *[F.col(c).alias(f"_c_{c}") for c in by], F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")
     )
 
 

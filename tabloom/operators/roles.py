@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import long_rows, numeric_columns, present, ref, string_columns
+from tabloom.functions.columns import long_rows, numeric_columns, present, ref, short_form, string_columns
 from tabloom.functions.fixed import IMAGE_PATTERN
 
 MAX_CLASSES = 20
@@ -29,7 +29,7 @@ def column_roles(
         ]
         return long_rows(df.sparkSession.range(1), numeric + chosen)
     distinct = [
-        (F.count_distinct(ref(c)) if rsd is None else F.approx_count_distinct(ref(c), rsd)).alias(f"u{i}")
+        (F.count_distinct(short_form(ref(c))) if rsd is None else F.approx_count_distinct(ref(c), rsd)).alias(f"u{i}")
         for i, c in enumerate(strings)
     ]
     tested = [
@@ -52,7 +52,7 @@ def infer_multimodal(df: DataFrame, key: str, target: str | None = None, sample_
     names = [c for c in df.columns if c != target]
     strings = set(string_columns(df))
     totals = df.agg(
-        F.count("*").alias("n"), *[F.count_distinct(ref(c)).alias(f"u{i}") for i, c in enumerate(names) if c in strings]
+        F.count("*").alias("n"), *[F.count_distinct(short_form(ref(c))).alias(f"u{i}") for i, c in enumerate(names) if c in strings]
     )
     rows = [
         F.struct(

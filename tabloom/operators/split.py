@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import ref, seeded_hash
+from tabloom.functions.columns import ref, seeded_digest, seeded_hash
 from tabloom.operators.ranks import (
     at_or_before,
     cut_row,
-    hash_cut,
+    hash_cuts,
     hash_position,
     join_lookup,
     with_hash,
@@ -22,23 +22,25 @@ from tabloom.operators.ranks import (
 MIN_ROWS_FOR_VALIDATION = 100
 
 
-def _mark(hashed: DataFrame, by: list[str], take: Column, name: str) -> DataFrame:
-    """Boolean column `name`: true for the first `take` rows of each group in seeded order."""
-    cuts = hash_cut(hashed, by, take)
-    if by:
-        on = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by]
-        joined = join_lookup(hashed, cuts, on, "left")
-        hit = (F.col("_hash") < F.col("_cut_hash")) | (
-            (F.col("_hash") == F.col("_cut_hash")) & (F.col("_key") <= F.col("_cut_key"))
-        )
-        return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(
-            "_cut_hash", "_cut_key", *[f"_c_{c}" for c in by]
-        )
-    cut = cuts.first()
-    if cut is None:
-        return hashed.withColumn(name, F.lit(False))
-    hit = (F.col("_hash") < cut["_cut_hash"]) | ((F.col("_hash") == cut["_cut_hash"]) & (F.col("_key") <= cut["_cut_key"]))
-    return hashed.withColumn(name, hit)
+def _mark(hashed: DataFrame, by: list[str], takes: dict[str, Column]) -> DataFrame:
+    """A boolean column per entry of `takes`: true for that many first rows of each group in seeded order."""
+    cuts = hash_cuts(hashed, by, takes)
+
+    def first_rows(cut_hash: Column, cut_key: Column) -> Column:
+        hit = (F.col("_hash") < cut_hash) | ((F.col("_hash") == cut_hash) & (F.col("_key") <= cut_key))
+        return F.coalesce(hit, F.lit(False))
+
+    if not by:
+        found = {r["_cut"]: r for r in cuts.collect()}  # at most one row per cut
+        marks = {n: first_rows(F.lit(r["_cut_hash"]), F.lit(r["_cut_key"])) for n, r in found.items()}
+        return hashed.withColumns({n: marks.get(n, F.lit(False)) for n in takes})
+    wide = cuts.groupBy(*[f"_c_{c}" for c in by]).agg(
+        *[F.max(F.when(F.col("_cut") == n, F.struct("_cut_hash", "_cut_key"))).alias(f"_at_{n}") for n in takes]
+    )
+    on = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by]
+    joined = join_lookup(hashed, wide, on, "left")
+    marked = joined.withColumns({n: first_rows(F.col(f"_at_{n}._cut_hash"), F.col(f"_at_{n}._cut_key")) for n in takes})
+    return marked.drop(*[f"_at_{n}" for n in takes], *[f"_c_{c}" for c in by])
 
 
 def _percent_ceil(n: Column, numerator: int, denominator: int) -> Column:
@@ -57,13 +59,12 @@ def random_split(
     hashed = with_hash(df, key, seed)
     n = F.col("_n")
     test_rows = _percent_ceil(n, test_pct, 100)
-    marked = _mark(hashed, [], test_rows, "_test")
-    if val_pct > 0:
-        rest = n - test_rows
-        val_rows = F.when(rest > min_rows, _percent_ceil(rest, val_pct, 100 - test_pct)).otherwise(0)
-        # The first test + validation rows of the same order; test rows are taken out first.
-        marked = _mark(marked, [], test_rows + val_rows, "_upto")
-    else:
+    rest = n - test_rows
+    val_rows = F.when(rest > min_rows, _percent_ceil(rest, val_pct, 100 - test_pct)).otherwise(0)
+    # Validation rows follow the test rows in the same order.
+    takes = {"_test": test_rows, "_upto": test_rows + val_rows} if val_pct > 0 else {"_test": test_rows}
+    marked = _mark(hashed, [], takes)
+    if val_pct <= 0:
         marked = marked.withColumn("_upto", F.lit(False))
     split = F.when(F.col("_test"), "test").when(F.col("_upto"), "valid").otherwise("train")
     return marked.withColumn("split", split).drop("_test", "_upto", "_key", "_hash", "_slice")
@@ -80,7 +81,7 @@ def stratified_split(df: DataFrame, by: str, key: Column, test_pct: int = 20, se
     """Column `split`: per class exactly floor(n_c * share + 0.5) test rows."""
     hashed = with_hash(df, key, seed)
     take = F.floor((F.col("_n") * (2 * test_pct) + 100) / 200).cast("long")
-    marked = _mark(hashed, [by], take, "_test")
+    marked = _mark(hashed, [by], {"_test": take})
     split = F.when(F.col("_test"), "test").otherwise("train")
     return marked.withColumn("split", split).drop("_test", "_key", "_hash", "_slice")
 
@@ -130,7 +131,7 @@ def hash_folds(df: DataFrame, key: Column, k: int = 5, seed: int = 42) -> DataFr
 
 def bounded_sample(df: DataFrame, key: Column, n: int = 100, seed: int = 42) -> DataFrame:
     """At most n rows, reproducible; a bounded heap per task, no full sort."""
-    picked = df.withColumn("_key", key.cast("string")).orderBy(seeded_hash(F.col("_key"), seed), "_key").limit(n)
+    picked = df.withColumn("_key", key.cast("string")).orderBy(seeded_digest(F.col("_key"), seed), "_key").limit(n)
     return picked.drop("_key")
 
 

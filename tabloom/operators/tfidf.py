@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import ref
 from tabloom.functions.fixed import STOP_WORDS
 from tabloom.functions.text import ngrams, tokens
+from tabloom.session import spread
 
 
 class TfIdf:
@@ -41,6 +42,7 @@ class TfIdf:
         if not 1 <= ngram_range[0] <= ngram_range[1] <= 3:
             raise ValueError("n-grams of 1 to 3 tokens")
         model = cls([], [], ngram_range, stop_words)
+        df = spread(df.select(column))
         terms = df.select(F.explode(model._terms(column)).alias("term"))
         top = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
         model.vocabulary = [r["term"] for r in top.collect()]  # at most max_features rows
@@ -73,7 +75,7 @@ class TfIdf:
 
     def long_form(self, df: DataFrame, key: str, column: str) -> DataFrame:
         """(key, term, weight) of every term present."""
-        vectors = self.transform(df.select(key, column), column, "_v")
+        vectors = self.transform(spread(df.select(key, column)), column, "_v")
         sparse = F.unwrap_udt(F.col("_v"))
         parts = vectors.select(key, F.inline(F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("w"))))
         words = F.array(*[F.lit(t) for t in self.vocabulary])

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,3 +49,17 @@ def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor re-reads the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on a table that comes from fewer files than there are cores.
+
+    A large table has far more files (and splits) than cores and is left alone; a table in one small file
+    would otherwise be processed by a single task. Only the listing is looked at, nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df.inputFiles()) >= cores:
+        return df
+    keys = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    # By hash, since a round-robin exchange would sort its input first.
+    return df.repartition(cores, *keys)
