@@ -51,14 +51,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FEW_FILES = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on a table that comes from fewer files than there are cores.
+    """Use all cores for CPU-heavy work on a table that comes from a handful of files.
 
-    A large table has far more files (and splits) than cores and is left alone; a table in one small file
-    would otherwise be processed by a single task. Only the listing is looked at, nothing runs.
+    Large tables have far more files (and splits) than that and are left alone, as are tables without
+    files; a table in one small file would otherwise be processed by a single task. Only the listing is
+    looked at, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or len(df.inputFiles()) >= cores:
+    if df.isStreaming or not 0 < len(df.inputFiles()) <= min(FEW_FILES, cores):
         return df
     keys = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
     # By hash, since a round-robin exchange would sort its input first.
