@@ -180,7 +180,7 @@ def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED,
         return item[0], item[1](seed).fit(encoded)
 
     with ThreadPool(min(parallelism, len(makers))) as pool:
-        return dict(pool.map(inheritable_thread_target(fit), list(makers.items())))
+        return dict(pool.map(inheritable_thread_target(encoded.sparkSession)(fit), list(makers.items())))
 
 
 def cross_validate(
@@ -203,7 +203,7 @@ def cross_validate(
 
     jobs = list(itertools.product(makers, range(k)))
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        parts = pool.map(inheritable_thread_target(one), jobs)
+        parts = pool.map(inheritable_thread_target(encoded.sparkSession)(one), jobs)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
