@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabloom.llm.common import table
 
@@ -31,6 +32,39 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary_path(WORD_VOCABULARY))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        F.col("__kept.n_lines"),
+        F.col("__kept.n_dropped"),
+        F.sha2(F.coalesce(F.col("__kept.text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+LINE_DEDUP_SQL = """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents
+), keyed as (
+    select doc_id, pos, line,
+           translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+), common as (
+    select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10
+), marked as (
+    select k.*, c.key is not null as gone from keyed k left join common c using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.bpe import encode_documents
 
@@ -39,6 +73,6 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_jump_sharding, op7_best_fit_packing, op10_bpe_round_trip)
+    f.__name__: f for f in (op4_jump_sharding, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": LINE_DEDUP_SQL}
