@@ -26,6 +26,43 @@ def op4_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.near import named, near_duplicates
+
+    return named(near_duplicates(table(spark, folder, "documents"), words=4))
+
+
+NEAR_DEDUP_SQL = """
+with recursive words as (
+    select doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [w]
+                        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) end as s
+    from words
+), items as materialized (
+    select doc_id, len(s) as n, unnest(s) as shingle from sets
+), pairs as materialized (
+    select a.doc_id as a, b.doc_id as b
+    from items a join items b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n
+    having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges as materialized (
+    select a, b from pairs union all select b, a from pairs
+), reach as (
+    select doc_id, doc_id as other from documents
+    union
+    select r.doc_id, e.b from reach r join edges e on r.other = e.a
+)
+select s.doc_id, len(s.s) as n_shingles, min(r.other) as component_id, s.doc_id = min(r.other) as kept
+from sets s join reach r on s.doc_id = r.doc_id
+group by s.doc_id, len(s.s)
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.packing import pack
 
@@ -73,6 +110,6 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_jump_sharding, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
+    f.__name__: f for f in (op4_jump_sharding, op5_minhash_near_dedup, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
 }
-SQL: dict[str, str] = {"op8_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
