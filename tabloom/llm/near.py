@@ -8,9 +8,11 @@ two classes with 24 agreements share one of the first 25. The 23 most frequent o
 the stored signatures, for pairs that the merged lists bring together. Values that one class has alone are never
 posted. All pairs that pass are confirmed on the full sets.
 
-Long lists are not expanded into all pairs. First each list ties its members to its smallest one; confirmed links are
-contracted to components. Then only members that lie in different components are still compared, those outside the
-list's largest component with all others. No link between components is lost, whatever the length of the lists.
+Long lists are not expanded into all pairs. Shingles that a class shares with no other class of the long lists bound
+its similarity to all of them; classes out of reach leave such lists, and pairs out of reach are not made. Then each
+list ties its members to the one with the fewest shingles of its own; confirmed links are contracted to components.
+Only members that lie in different components are still compared, those outside the list's largest component with all
+others. No link between components is lost, whatever the length of the lists.
 
 Rows that share an id belong to one component. Rows without an id are told apart by their text and never name a
 component; texts without words are linked with nothing. An empty table gives no rows.
@@ -32,6 +34,8 @@ from tabloom.llm.shingles import seeds, set_prints, shingle_sets, signatures
 COORDINATES = 48
 MATCHES = 24
 PERCENT = 80
+#: Lists of more classes are thinned by what their classes share with nobody.
+LONG = 64
 _SEEDS = seeds(COORDINATES)
 
 
@@ -101,25 +105,47 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return both.where(100 * common.cast("long") >= PERCENT * union.cast("long")).select("a", "b")
 
 
-def _alike_in_size(a: str, b: str):
-    small, large = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return 100 * small >= PERCENT * large
+def _within_reach(n_a: str, own_a: str, n_b: str, own_b: str):
+    """Whether sets of these sizes can be similar if `own` of their shingles do not occur in the other one."""
+    most = F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b))
+    return 100 * most >= PERCENT * (F.col(n_a) + F.col(n_b) - most)
+
+
+def _with_own(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add `own` to postings: in long lists how many shingles a class shares with no other class of any long list, else
+    0. Classes with too many of them can have no partner in such a list and leave it."""
+    long = lists.groupBy("pos", "val").agg(F.count("*").alias("members")).where(F.col("members") > LONG)
+    marked = lists.join(long, ["pos", "val"], "left")
+    crowd = marked.where("members is not null").select("cid").distinct()
+    spread = sets.join(crowd, "cid").select("cid", F.explode("shingles").alias("shingle"))
+    alone = spread.groupBy("shingle").agg(F.count("*").alias("times"), F.min("cid").alias("cid")).where("times = 1")
+    own = alone.groupBy("cid").agg(F.count("*").alias("alone"))
+    counted = marked.join(own, "cid", "left")
+    of_long = F.when(F.col("members").isNotNull(), F.coalesce("alone", F.lit(0))).otherwise(F.lit(0))
+    counted = counted.select("pos", "val", "cid", "n", of_long.cast("long").alias("own"))
+    return counted.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
 
 
 def links_between_classes(docs: DataFrame, classes: DataFrame, words: int, text: str = "text") -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs of classes."""
-    lists = pin(_merged_postings(classes))
-    wanted = lists.select("cid").distinct().join(classes.select("cid", "p1", "p2"), "cid")
+    posted = pin(_merged_postings(classes))
+    wanted = posted.select("cid").distinct().join(classes.select("cid", "p1", "p2"), "cid")
     rows = docs.withColumn("__cid", row_key(text=text)).join(
         wanted.select(F.col("cid").alias("__cid")), "__cid", "left_semi"
     )
     sets = full_sets(rows, words, text).withColumnRenamed("doc", "cid").join(wanted, ["cid", "p1", "p2"])
     sets = pin(sets.select("cid", "shingles").dropDuplicates(["cid"]))
+    lists = pin(_with_own(posted, sets))
 
-    first = lists.groupBy("pos", "val").agg(F.min(F.struct("cid", "n")).alias("lead"))
-    stars = lists.join(first.select("pos", "val", F.col("lead.cid").alias("a"), F.col("lead.n").alias("n_a")), ["pos", "val"])
-    stars = stars.where((F.col("a") < F.col("cid")) & _alike_in_size("n_a", "n"))
-    near = pin(_confirmed(stars.select("a", F.col("cid").alias("b")), classes, sets))
+    first = lists.groupBy("pos", "val").agg(F.min(F.struct("own", "cid", "n")).alias("lead"))
+    first = first.select(
+        "pos", "val", F.col("lead.cid").alias("x"), F.col("lead.n").alias("n_x"), F.col("lead.own").alias("own_x")
+    )
+    stars = lists.join(first, ["pos", "val"]).where(
+        (F.col("x") != F.col("cid")) & _within_reach("n_x", "own_x", "n", "own")
+    )
+    ends = (F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
+    near = pin(_confirmed(stars.select(*ends), classes, sets))
 
     found = components(near).withColumnRenamed("node", "cid")
     placed = lists.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -130,14 +156,16 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, words: int, text:
     main = main.where("parts > 1").select("pos", "val", F.col("top.component").alias("main"))
     split = pin(placed.join(main, ["pos", "val"]))
     outside = split.where("component <> main").select(
-        "pos", "val", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x")
-    )
+        "pos", "val", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"),
+        F.col("component").alias("of_x"),
+    )
     inside = F.col("component") == F.col("main")
     rest = outside.join(split, ["pos", "val"]).where(
-        (F.col("of_x") != F.col("component")) & (inside | (F.col("x") < F.col("cid"))) & _alike_in_size("n_x", "n")
+        (F.col("of_x") != F.col("component"))
+        & (inside | (F.col("x") < F.col("cid")))
+        & _within_reach("n_x", "own_x", "n", "own")
     )
-    pairs = rest.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
-    return near.union(_confirmed(pairs, classes, sets))
+    return near.union(_confirmed(rest.select(*ends), classes, sets))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
