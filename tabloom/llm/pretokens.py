@@ -94,8 +94,8 @@ def pieces(buf: np.ndarray, starts: np.ndarray, bare: bool) -> tuple[np.ndarray,
 class Known:
     """Values of pieces by their hash, kept between the batches of a worker up to `limit` entries."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
+    def __init__(self, limit: int = 400_000, dtype: type = np.int32):
+        self.limit, self.dtype = limit, dtype
         self.clear()
 
     def clear(self) -> None:
@@ -103,7 +103,7 @@ class Known:
         self.place = np.zeros(0, dtype=np.int64)
         self.offset = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(0, dtype=self.dtype)
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it is not known."""
@@ -116,7 +116,7 @@ class Known:
         row = np.arange(len(hashes)) + len(self.offset)
         self.offset = np.concatenate((self.offset, len(self.pool) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
-        self.pool = np.concatenate((self.pool, flat.astype(np.int32)))
+        self.pool = np.concatenate((self.pool, flat.astype(self.dtype)))
         both, place = np.concatenate((self.hashes, hashes)), np.concatenate((self.place, row))
         order = np.argsort(both, kind="stable")
         self.hashes, self.place = both[order], place[order]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import table
@@ -20,6 +20,33 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(folds: int) -> Column:
+    """Checksum of the id modulo `folds`; a null id has none and counts as -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.language import fit_languages, predict_languages
+
+    docs = table(spark, folder, "documents")
+    model = fit_languages(docs.where(_remainder(4).between(0, 1) | (_remainder(4) == 3)))
+    return predict_languages(docs.withColumn("held_out", _remainder(4) == 2), model)
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.toxicity import fit_toxicity, score_texts
+
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels").where(_remainder(5) > 0))
+    score = F.col("__toxic")
+    return score_texts(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.sharding import assign_shards
 
@@ -110,6 +137,6 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_jump_sharding, op5_minhash_near_dedup, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op4_jump_sharding, op5_minhash_near_dedup, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
