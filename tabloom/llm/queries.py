@@ -129,6 +129,12 @@ from marked group by doc_id
 """
 
 
+def op9_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.vectors import nearest_neighbours
+
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.bpe import encode_documents
 
@@ -137,6 +143,6 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op4_jump_sharding, op5_minhash_near_dedup, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op4_jump_sharding, op5_minhash_near_dedup, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op9_pruned_graph_search, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
