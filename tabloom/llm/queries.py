@@ -47,6 +47,30 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.spots import fingerprint_documents, likeness, printed
+
+    return fingerprint_documents(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        printed("signatures").alias("fingerprint"),
+        printed("edited_signatures").alias("edited_fingerprint"),
+        likeness("signatures", "edited_signatures").alias("near_edited"),
+        likeness("signatures", "next_signatures").alias("near_next"),
+    )
+
+
+def op3_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tabloom.llm.personal import KINDS, find_personal_data, listed, of_kind
+
+    found = find_personal_data(table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS
+    ]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op4_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.sharding import assign_shards
 
@@ -143,6 +167,6 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op4_jump_sharding, op5_minhash_near_dedup, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op9_pruned_graph_search, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op2_spot_signatures, op3_contextual_pii, op4_jump_sharding, op5_minhash_near_dedup, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op9_pruned_graph_search, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DEDUP_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
