@@ -20,7 +20,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _remainder(folds: int) -> Column:
+def remainder(folds: int) -> Column:
     """Checksum of the id modulo `folds`; a null id has none and counts as -1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
 
@@ -29,19 +29,19 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.language import fit_languages, predict_languages
 
     docs = table(spark, folder, "documents")
-    model = fit_languages(docs.where(_remainder(4).between(0, 1) | (_remainder(4) == 3)))
-    return predict_languages(docs.withColumn("held_out", _remainder(4) == 2), model)
+    model = fit_languages(docs.where(remainder(4).between(0, 1) | (remainder(4) == 3)))
+    return predict_languages(docs.withColumn("held_out", remainder(4) == 2), model)
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from tabloom.llm.toxicity import fit_toxicity, score_texts
 
     docs = table(spark, folder, "documents")
-    model = fit_toxicity(docs, table(spark, folder, "labels").where(_remainder(5) > 0))
+    model = fit_toxicity(docs, table(spark, folder, "labels").where(remainder(5) > 0))
     score = F.col("__toxic")
     return score_texts(docs.select("doc_id", "text"), model).select(
         "doc_id",
-        (_remainder(5) == 0).alias("held_out"),
+        (remainder(5) == 0).alias("held_out"),
         score.alias("score"),
         (score >= 0.5).cast("int").alias("predicted"),
     )
