@@ -10,7 +10,7 @@ posted. All pairs that pass are confirmed on the full sets.
 
 Long lists are not expanded into all pairs. Shingles that a class shares with no other class of the long lists bound
 its similarity to all of them; classes out of reach leave such lists, and pairs out of reach are not made. Then each
-list ties its members to the one with the fewest shingles of its own; confirmed links are contracted to components.
+list ties its members to the one whose shingles are the most common there; confirmed links are contracted to components.
 Only members that lie in different components are still compared, those outside the list's largest component with all
 others. No link between components is lost, whatever the length of the lists.
 
@@ -113,16 +113,18 @@ def _within_reach(n_a: str, own_a: str, n_b: str, own_b: str):
 
 def _with_own(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Add `own` to postings: in long lists how many shingles a class shares with no other class of any long list, else
-    0. Classes with too many of them can have no partner in such a list and leave it."""
+    0, and `mass`, how often their shingles occur there on average. Classes with too many of them can have no partner in such a list and leave it."""
     long = lists.groupBy("pos", "val").agg(F.count("*").alias("members")).where(F.col("members") > LONG)
     marked = lists.join(long, ["pos", "val"], "left")
     crowd = marked.where("members is not null").select("cid").distinct()
     spread = sets.join(crowd, "cid").select("cid", F.explode("shingles").alias("shingle"))
-    alone = spread.groupBy("shingle").agg(F.count("*").alias("times"), F.min("cid").alias("cid")).where("times = 1")
-    own = alone.groupBy("cid").agg(F.count("*").alias("alone"))
-    counted = marked.join(own, "cid", "left")
-    of_long = F.when(F.col("members").isNotNull(), F.coalesce("alone", F.lit(0))).otherwise(F.lit(0))
-    counted = counted.select("pos", "val", "cid", "n", of_long.cast("long").alias("own"))
+    times = spread.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    shared = spread.join(times, "shingle").groupBy("cid").agg(F.count("*").alias("shared"), F.sum("times").alias("mass"))
+    counted = marked.join(shared, "cid", "left")
+    long_one = F.col("members").isNotNull()
+    own = F.when(long_one, F.col("n") - F.coalesce("shared", F.lit(0))).otherwise(F.lit(0))
+    mass = F.when(long_one, F.coalesce("mass", F.lit(0)) / F.col("n")).otherwise(F.lit(0.0))
+    counted = counted.select("pos", "val", "cid", "n", own.cast("long").alias("own"), mass.alias("mass"))
     return counted.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
 
 
@@ -137,7 +139,7 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, words: int, text:
     sets = pin(sets.select("cid", "shingles").dropDuplicates(["cid"]))
     lists = pin(_with_own(posted, sets))
 
-    first = lists.groupBy("pos", "val").agg(F.min(F.struct("own", "cid", "n")).alias("lead"))
+    first = lists.groupBy("pos", "val").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "own", "cid", "n")).alias("lead"))
     first = first.select(
         "pos", "val", F.col("lead.cid").alias("x"), F.col("lead.n").alias("n_x"), F.col("lead.own").alias("own_x")
     )

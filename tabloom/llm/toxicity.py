@@ -55,10 +55,13 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     s, e = words(buf)
     owner = np.searchsorted(starts, s, "right") - 1
     lone = e - s == 1
-    lone_edge = np.flatnonzero(np.diff(np.concatenate(([False], lone, [False])).astype(np.int8)))
-    first, last = lone_edge[0::2], lone_edge[1::2] - 1
-    same = (last - first >= 3) & (owner[first] == owner[last]) if len(first) else np.zeros(0, dtype=bool)
-    first, last = first[same], last[same]
+    apart = np.ones(len(s), dtype=bool)
+    apart[1:] = (owner[1:] != owner[:-1]) | ~lone[:-1]
+    first = np.flatnonzero(lone & apart)
+    behind = np.append(apart[1:], True)
+    behind[:-1] |= ~lone[1:]
+    last = np.flatnonzero(lone & behind)
+    first, last = first[last - first >= 3], last[last - first >= 3]
     s, e = np.concatenate((s, s[first])), np.concatenate((e, e[last]))
     return buf, s, e, np.concatenate((owner, owner[first]))
 
