@@ -30,6 +30,8 @@ from tabloom.llm.pretokens import Known
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1200, 2400, 20_000
 LANDMARKS = 128
+#: Words and dense rows that are worked on at once.
+WORDS, ROWS = 10_000, 150
 DECAY = 0.7
 SPAN = 6
 EDGE, FOREIGN = 31, 30
@@ -99,7 +101,8 @@ def _dense(items: list[str]) -> np.ndarray:
     word, code, weight = subsequences(buf, starts[:-1], starts[1:] - 1)
     out = np.zeros((len(items), 1 << 3 * _BITS), dtype=np.float32)
     out[word, code] = weight
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 class ToxicityModel:
@@ -109,6 +112,11 @@ class ToxicityModel:
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
 
     def word_margins(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Margins of words, a bounded number at a time."""
+        blocks = range(0, len(s), WORDS)
+        return np.concatenate([np.zeros(0), *(self._margins(buf, s[i : i + WORDS], e[i : i + WORDS]) for i in blocks)])
+
+    def _margins(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         word, code, weight = subsequences(buf, s, e)
         norm = np.sqrt(np.bincount(word, weights=weight**2, minlength=len(s)))
         dot = np.bincount(word, weights=weight * self.weights[code], minlength=len(s))
@@ -160,10 +168,11 @@ def _stretched(word: str, draw: np.random.Generator) -> str:
 
 
 def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> ToxicityModel:
-    bags = []
+    bags, same = [], {}
     for x in texts:
         buf, s, e, _ = word_spans([x])
-        bags.append({buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist()) if b - a <= 40})
+        found = {buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist()) if b - a <= 40}
+        bags.append({same.setdefault(w, w) for w in found})
     unique = dict.fromkeys((tuple(sorted(b)), t) for b, t in zip(bags, toxic.tolist()) if b)
     bad, good = [b for b, t in unique if t], [b for b, t in unique if not t]
     in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
@@ -195,7 +204,7 @@ def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Tox
         first = first + [_stretched(w, draw) for w in first]
         items = first + [w for w in sample + hard if w not in witness]
         y = np.where(np.arange(len(items)) < len(first), 1.0, -1.0)
-        x = np.vstack([_dense(items[i : i + 500]) @ base.T for i in range(0, len(items), 500)]) @ white
+        x = np.vstack([_dense(items[i : i + ROWS]) @ base.T for i in range(0, len(items), ROWS)]) @ white
         w, b = _machine(x, y)
         model = ToxicityModel((base.T @ (white @ w)).astype(np.float64), b)
         buf, starts = flat_clean
