@@ -92,7 +92,9 @@ def classification_scores(df: DataFrame, label: str = "label", prediction: str =
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
+    """Share of rows with a label that are predicted right; a null prediction is wrong."""
+    right = F.col(label).eqNullSafe(F.col(prediction)).cast("double")
+    return df.agg(F.avg(F.when(F.col(label).isNotNull(), right)).alias("accuracy"))
 
 
 def roc_auc(df: DataFrame, positive: Column, score: str, **tuning) -> DataFrame:
