@@ -30,14 +30,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set, but only with a local master; a cluster raises.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and (held := context.getCheckpointDir()):
+        configured = held.rsplit("/", 1)[0]  # Spark adds a folder of its own
     if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
 
 
