@@ -9,7 +9,8 @@ the stored signatures, for pairs that the merged lists bring together. Values th
 posted. All pairs that pass are confirmed on the full sets.
 
 Long lists are not expanded into all pairs. Shingles that a class shares with no other class of the long lists bound
-its similarity to all of them; classes out of reach leave such lists, and pairs out of reach are not made. Then each
+its similarity to all of them; classes out of reach leave such lists, and pairs out of reach are not made. Parity
+sketches bound each pair: two sets differ in at least as many shingles as their sketches do in bits. Then each
 list ties its members to the one whose shingles are the most common there; confirmed links are contracted to components.
 Only members that lie in different components are still compared, those outside the list's largest component with all
 others. No link between components is lost, whatever the length of the lists.
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import NO_ID, pin, row_key
 from tabloom.llm.components import components
-from tabloom.llm.shingles import seeds, set_prints, shingle_sets, signatures
+from tabloom.llm.shingles import parity_sketches, seeds, set_prints, shingle_sets, signatures
 
 COORDINATES = 48
 MATCHES = 24
 PERCENT = 80
 #: Lists of more classes are thinned by what their classes share with nobody.
 LONG = 64
+#: 64-bit numbers of a parity sketch.
+SKETCH = 16
 _SEEDS = seeds(COORDINATES)
 
 
@@ -60,8 +63,8 @@ def signed_documents(docs: DataFrame, words: int, text: str = "text") -> DataFra
 
 
 def full_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc, p1, p2 and the sorted shingle set of each row with shingles."""
-    schema = "doc long, p1 long, p2 long, shingles array<long>"
+    """doc, p1, p2, the sorted shingle set and its parity sketch of each row with shingles."""
+    schema = "doc long, p1 long, p2 long, shingles array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +73,11 @@ def full_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                 p1, p2 = set_prints(values, counts)
                 offsets = pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32))))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
-                columns = [batch.column(0).slice(done, len(counts)), pa.array(p1), pa.array(p2), lists]
-                whole = pa.RecordBatch.from_arrays(columns, names=["doc", "p1", "p2", "shingles"])
+                ends = np.arange(0, SKETCH * len(counts) + 1, SKETCH, dtype=np.int32)
+                flat = pa.array(parity_sketches(values, counts, SKETCH).ravel())
+                sketches = pa.ListArray.from_arrays(pa.array(ends), flat)
+                columns = [batch.column(0).slice(done, len(counts)), pa.array(p1), pa.array(p2), lists, sketches]
+                whole = pa.RecordBatch.from_arrays(columns, names=["doc", "p1", "p2", "shingles", "sketch"])
                 yield whole.filter(pa.array(counts > 0))
                 done += len(counts)
 
@@ -111,20 +117,30 @@ def _within_reach(n_a: str, own_a: str, n_b: str, own_b: str):
     return 100 * most >= PERCENT * (F.col(n_a) + F.col(n_b) - most)
 
 
+def _sketches_near(n_a: str, sketch_a: str, n_b: str, sketch_b: str):
+    """Whether sets of these sizes can be similar if they differ in every bit of their sketches; null ones can."""
+    bits = [F.bit_count(F.get(sketch_a, k).bitwiseXOR(F.get(sketch_b, k))) for k in map(F.lit, range(SKETCH))]
+    near = (100 + PERCENT) * sum(bits[1:], bits[0]) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+    return F.coalesce(near, F.lit(True))
+
+
 def _with_own(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Add `own` to postings: in long lists how many shingles a class shares with no other class of any long list, else
-    0, and `mass`, how often their shingles occur there on average. Classes with too many of them can have no partner in such a list and leave it."""
+    0, `mass`, how often their shingles occur there on average, and `sketch` (null in other lists). Classes with too
+    many shingles of their own can have no partner in such a list and leave it."""
     long = lists.groupBy("pos", "val").agg(F.count("*").alias("members")).where(F.col("members") > LONG)
     marked = lists.join(long, ["pos", "val"], "left")
     crowd = marked.where("members is not null").select("cid").distinct()
     spread = sets.join(crowd, "cid").select("cid", F.explode("shingles").alias("shingle"))
     times = spread.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     shared = spread.join(times, "shingle").groupBy("cid").agg(F.count("*").alias("shared"), F.sum("times").alias("mass"))
-    counted = marked.join(shared, "cid", "left")
+    drawn = sets.join(crowd, "cid").select("cid", "sketch").join(shared, "cid", "left")
+    counted = marked.join(drawn, "cid", "left")
     long_one = F.col("members").isNotNull()
     own = F.when(long_one, F.col("n") - F.coalesce("shared", F.lit(0))).otherwise(F.lit(0))
     mass = F.when(long_one, F.coalesce("mass", F.lit(0)) / F.col("n")).otherwise(F.lit(0.0))
-    counted = counted.select("pos", "val", "cid", "n", own.cast("long").alias("own"), mass.alias("mass"))
+    sketch = F.when(long_one, F.col("sketch")).alias("sketch")
+    counted = counted.select("pos", "val", "cid", "n", own.cast("long").alias("own"), mass.alias("mass"), sketch)
     return counted.where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
 
 
@@ -136,7 +152,7 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, words: int, text:
         wanted.select(F.col("cid").alias("__cid")), "__cid", "left_semi"
     )
     sets = full_sets(rows, words, text).withColumnRenamed("doc", "cid").join(wanted, ["cid", "p1", "p2"])
-    sets = pin(sets.select("cid", "shingles").dropDuplicates(["cid"]))
+    sets = pin(sets.select("cid", "shingles", "sketch").dropDuplicates(["cid"]))
     lists = pin(_with_own(posted, sets))
 
     first = lists.groupBy("pos", "val").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "own", "cid", "n")).alias("lead"))
@@ -159,13 +175,14 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, words: int, text:
     split = pin(placed.join(main, ["pos", "val"]))
     outside = split.where("component <> main").select(
         "pos", "val", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"),
-        F.col("component").alias("of_x"),
+        F.col("component").alias("of_x"), F.col("sketch").alias("sketch_x"),
     )
     inside = F.col("component") == F.col("main")
     rest = outside.join(split, ["pos", "val"]).where(
         (F.col("of_x") != F.col("component"))
         & (inside | (F.col("x") < F.col("cid")))
         & _within_reach("n_x", "own_x", "n", "own")
+        & _sketches_near("n_x", "sketch_x", "n", "sketch")
     )
     return near.union(_confirmed(rest.select(*ends), classes, sets))
 

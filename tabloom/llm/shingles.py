@@ -70,3 +70,15 @@ def set_prints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
             total[some] = np.add.reduceat(mix(values ^ salt), begin)
         out.append(total.view(np.int64))
     return out[0], out[1]
+
+
+def parity_sketches(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """`size` 64-bit numbers for each text: one bit a bucket, set if an odd number of its shingles fall there.
+
+    Two sets differ in at least as many shingles as their sketches do in bits.
+    """
+    out = np.zeros((len(counts), size), dtype=_U)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    bucket = mix(values ^ _U(0x2545F4914F6CDD1D)) % _U(64 * size)
+    np.bitwise_xor.at(out, (owner, (bucket >> _U(6)).astype(np.int64)), _U(1) << (bucket & _U(63)))
+    return out.view(np.int64)
