@@ -5,7 +5,7 @@ Fixed values: results depend on them literally, so they are stated as plain text
 
 # File extensions of images.
 IMAGE_PATTERN = r"\.(png|jpg|jpeg|bmp|gif|webp|tif|tiff)$"
-IMAGE_FILES = "*.{png,PNG,jpg,JPG,jpeg,JPEG}"
+IMAGE_FILES = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
 
 # Words that decide the class of a log line, in order of precedence.
 LINE_CLASSES = {

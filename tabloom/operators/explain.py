@@ -16,13 +16,15 @@ BACKGROUND_ROWS = 100
 
 def explain_rows(
     model: TrainedModel, train: DataFrame, rows: DataFrame, key: str, features: list[str], rounds: int | None = None,
-    max_rows: int | None = BACKGROUND_ROWS, background_rows: int = BACKGROUND_ROWS, seed: int = 42, class_index: int = 1,
+    max_rows: int | None = None, background_rows: int = BACKGROUND_ROWS, seed: int = 42, class_index: int = 1,
 ) -> DataFrame:
     """(key, feature, attribution): mean change of the model value when a feature joins in random order.
 
-    The background is a seeded sample of at most 100 training rows. Every (row, round, step) becomes one
+    The background is a seeded sample of `background_rows` training rows, one a round unless `rounds` says
+    otherwise: more rounds cost more and estimate better. All of `rows` are explained; with `max_rows` a seeded
+    sample of them, as a short report needs. Every (row, round, step) becomes one
     synthetic row, all of them are scored in a single transform, and a map-side combined sum gives the
-    attributions. `max_rows` samples the rows to explain, as a report does; None explains them all.
+    attributions.
     """
     back = bounded_sample(train.select(key, *features), ref(key), background_rows, seed).select(*features).collect()
     rounds = rounds or len(back)

@@ -36,7 +36,6 @@ from tabloom.operators.roles import detect_problem_type, infer_multimodal
 from tabloom.operators.split import kfold_assign
 
 SEED = 42
-FEW_ROWS = 5_000_000
 Candidate = Callable[[int], object]
 
 # Metric by which candidates are ranked, per task.
@@ -184,14 +183,17 @@ def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED,
 
 
 def cross_validate(
-    encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8
+    encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate."""
+    """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate.
+
+    Rows are dealt over `partitions` (default: the session's shuffle partitions) by a hash of the key; tree fits
+    depend on that number, as their bagging is drawn per partition.
+    """
     folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
-    if encoded.count() <= FEW_ROWS:
-        # Adaptive execution would leave a small table in one partition, and every fit in one task.
-        folds = folds.repartition(folds.sparkSession.sparkContext.defaultParallelism)
-    folds = folds.cache()
+    partitions = partitions or int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folds = folds.repartition(partitions, F.col(key)).cache()
     folds.count()
 
     def one(job):

@@ -16,7 +16,6 @@ from tabloom.functions.columns import is_missing, long_rows, numeric_columns, pr
 from tabloom.operators.quantiles import exact_percentiles
 from tabloom.operators.ranks import dense_index, join_lookup, running_totals
 
-MINIMAL_ROWS = 10_000
 HEALTH_ALERT_PCT = 5.0
 
 
@@ -178,14 +177,9 @@ def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return long_rows(df.agg(*aggs), rows)
 
 
-def correlation_matrix(df: DataFrame, names: list[str] | None = None, force: bool = False) -> DataFrame | None:
-    """Pearson correlation of every column pair from one scan.
-
-    None for tables above 10,000 rows unless `force` is set, as the minimal profile leaves it out.
-    """
+def correlation_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair from one scan."""
     names = names or numeric_columns(df)
-    if not force and df.count() > MINIMAL_ROWS:
-        return None
     pairs = list(combinations(names, 2))
     aggs = [
         F.corr(present(df, a).cast("double"), present(df, b).cast("double")).alias(f"r{i}")

@@ -42,42 +42,37 @@ def column_roles(
     return long_rows(df.agg(F.count("*").alias("n"), *distinct), numeric + tested)
 
 
-def infer_multimodal(df: DataFrame, key: str, target: str | None = None, sample_size: int = 25) -> DataFrame:
-    """image, text or other per column, from the first `sample_size` non-null values in key order.
+def infer_multimodal(df: DataFrame, key: str, target: str | None = None, sample_size: int | None = None) -> DataFrame:
+    """image, text or other per column, from all non-null values in one aggregate.
 
-    image: at least half of the sample ends in an image extension. text: a string column whose sampled
-    average length is 25 or more, or with more distinct values than max(20, half the rows). The sample is
-    a bounded top-k per column that reads two columns; distinct counts of all columns share one scan.
+    image: at least half of the values end in an image extension. text: a string column whose average length
+    is 25 or more, or with more distinct values than max(20, half the rows). With `sample_size` shares and
+    lengths come from that many first rows in key order instead; distinct counts still cover all rows.
     """
     names = [c for c in df.columns if c != target]
     strings = set(string_columns(df))
-    totals = df.agg(
-        F.count("*").alias("n"), *[F.count_distinct(short_form(ref(c))).alias(f"u{i}") for i, c in enumerate(names) if c in strings]
-    )
+    looked = df if sample_size is None else df.orderBy(ref(key)).limit(sample_size)
+    texts = {c: ref(c).cast("string") for c in names}
+    looks = [F.avg(F.lower(v).rlike(IMAGE_PATTERN).cast("double")).alias(f"s{i}") for i, v in enumerate(texts.values())]
+    looks += [F.avg(F.length(v)).alias(f"l{i}") for i, v in enumerate(texts.values())]
+    counts = [F.count("*").alias("n")]
+    counts += [F.count_distinct(short_form(ref(c))).alias(f"u{i}") for i, c in enumerate(names) if c in strings]
+    if sample_size is None:
+        one = df.agg(*counts, *looks)
+    else:
+        one = df.agg(*counts).withColumn("_look", looked.agg(F.struct(*looks)).scalar()).select("*", "_look.*")
     rows = [
         F.struct(
             F.lit(c).alias("column"),
+            F.col(f"s{i}").alias("image_share"),
+            F.col(f"l{i}").alias("mean_length"),
             (F.col(f"u{i}") if c in strings else F.lit(0).cast("long")).alias("n_unique"),
             F.greatest(F.lit(20).cast("long"), F.floor(F.col("n") * 0.5)).alias("limit"),
             F.lit(c in strings).alias("is_string"),
         )
         for i, c in enumerate(names)
     ]
-    samples = None
-    for c in names:
-        head = (
-            df.where(ref(c).isNotNull())
-            .select(ref(key).alias("k"), ref(c).cast("string").alias("v"))
-            .orderBy("k")
-            .limit(sample_size)
-            .agg(
-                F.avg(F.lower("v").rlike(IMAGE_PATTERN).cast("double")).alias("image_share"),
-                F.avg(F.length("v")).alias("mean_length"),
-            )
-            .select(F.lit(c).alias("column"), "image_share", "mean_length")
-        )
-        samples = head if samples is None else samples.unionByName(head)
-    joined = long_rows(totals, rows).join(samples, "column")
+    joined = long_rows(one, rows)
     role = (
         F.when(F.col("image_share").isNull(), "other")
         .when(F.col("image_share") >= 0.5, "image")

@@ -19,8 +19,6 @@ from tabloom.operators.ranks import (
     with_hash,
 )
 
-MIN_ROWS_FOR_VALIDATION = 100
-
 
 def _mark(hashed: DataFrame, by: list[str], takes: dict[str, Column]) -> DataFrame:
     """A boolean column per entry of `takes`: true for that many first rows of each group in seeded order."""
@@ -49,7 +47,7 @@ def _percent_ceil(n: Column, numerator: int, denominator: int) -> Column:
 
 def random_split(
     df: DataFrame, key: Column, test_pct: int = 20, val_pct: int = 0, seed: int = 42,
-    min_rows: int = MIN_ROWS_FOR_VALIDATION,
+    min_rows: int = 0,
 ) -> DataFrame:
     """Column `split`: exactly ceil(n * test) test rows, then the validation share of the rest.
 

@@ -22,7 +22,7 @@ def c1(t):
     return R.column_roles(t.documents, target="lang")
 
 
-def _multimodal_sql(table: str, key: str, strings: list[str], others: list[str]) -> str:
+def _multimodal_sql(table: str, strings: list[str], others: list[str]) -> str:
     parts = []
     for c in strings + others:
         text = (
@@ -31,7 +31,7 @@ def _multimodal_sql(table: str, key: str, strings: list[str], others: list[str])
             else "false"
         )
         parts.append(
-            f"""select * from (with s as (select {c}::varchar as v from {table} where {c} is not null order by {key} limit 25)
+            f"""select * from (with s as (select {c}::varchar as v from {table} where {c} is not null)
             select '{c}' as "column", case when (select avg(regexp_matches(lower(v), '{IMAGE_PATTERN}')::int) from s) >= 0.5 then 'image'
             when {text} then 'text' else 'other' end as role)"""
         )
@@ -40,7 +40,7 @@ def _multimodal_sql(table: str, key: str, strings: list[str], others: list[str])
 
 @query(
     "c2_infer_multimodal_documents",
-    _multimodal_sql("documents", "doc_id", ["text", "lang"], ["doc_id", "n_chars"]),
+    _multimodal_sql("documents", ["text", "lang"], ["doc_id", "n_chars"]),
 )
 def c2_documents(t):
     return R.infer_multimodal(t.documents, "doc_id", target="source")
@@ -48,7 +48,7 @@ def c2_documents(t):
 
 @query(
     "c2_infer_multimodal_pages",
-    _multimodal_sql("(select page_id, url, html, url || '.PNG' as picture from pages)", "page_id", ["url", "html", "picture"], ["page_id"]),
+    _multimodal_sql("(select page_id, url, html, url || '.PNG' as picture from pages)", ["url", "html", "picture"], ["page_id"]),
 )
 def c2_pages(t):
     return R.infer_multimodal(t.pages.withColumn("picture", F.concat("url", F.lit(".PNG"))), "page_id")

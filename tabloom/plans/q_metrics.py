@@ -180,12 +180,12 @@ def h12(t):
 
 @query(
     "h13_mean_label_score",
-    """with s as (select o_orderpriority as target, max(round(o_totalprice % 100) / 100) as v from orders where o_totalprice < 5000 group by 1)
+    """with s as (select o_orderpriority as target, max(round(o_totalprice % 100) / 100) as v from orders group by 1)
     select 'best_model_score_' || replace(replace(lower(target), ' ', '_'), '-', '_') as metric, round(v, 6) as value from s
     union all select 'best_model_score_avg', round(avg(v), 6) from s""",
 )
 def h13(t):
-    scores = t.orders.where("o_totalprice < 5000").select(
+    scores = t.orders.select(
         F.col("o_orderpriority").alias("target"), (F.round(F.col("o_totalprice") % 100) / 100).alias("best_score")
     )
     return rounded(M.mean_label_score(scores))

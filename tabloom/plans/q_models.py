@@ -267,7 +267,7 @@ def _explained(t):
     table = priced_lines(t).drop("l_linestatus")
     features = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
     model = models.train(table, "l_extendedprice", "id", "lr", "regression", **SMALL)
-    return explain.explain_rows(model, table, table, "id", features)
+    return explain.explain_rows(model, table, table, "id", features, background_rows=8)
 
 
 @query("i6_explain_rows")

@@ -19,7 +19,7 @@ def sql_hash(key: str, seed: int = 42) -> str:
 @query(
     "e1_random_split",
     f"""with r as (select *, row_number() over (order by {sql_hash(LINE_KEY_SQL)}, {LINE_KEY_SQL}) as rk, count(*) over () as n from lineitem),
-    c as (select *, (n * 20 + 99) // 100 as nt from r), d as (select *, case when n - nt > 100 then ((n - nt) * 10 + 79) // 80 else 0 end as nv from c)
+    c as (select *, (n * 20 + 99) // 100 as nt from r), d as (select *, ((n - nt) * 10 + 79) // 80 as nv from c)
     select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when rk <= nt then 'test' when rk <= nt + nv then 'valid' else 'train' end as split from d""",
 )
 def e1(t):

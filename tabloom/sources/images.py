@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,5 +29,7 @@ def images_per_label(index: DataFrame) -> DataFrame:
 
 def image_set_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Content hash of all images with their place below the folder, whatever the listing order."""
-    digest = F.md5(F.concat_ws("|", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1), F.md5("content")))
+    root = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", folder).rstrip("/") + "/"
+    below = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
+    digest = F.md5(F.concat_ws("|", below, F.md5("content")))
     return digest_sum(_files(spark, folder).select(digest.alias("d")), "d")

@@ -76,10 +76,9 @@ def test_spearman_distributed_path(spark, monkeypatch):
     assert small == pytest.approx(pdf["a"].corr(pdf["b"]))
 
 
-def test_correlation_left_out_of_minimal_profile(spark):
+def test_correlation_of_any_number_of_rows(spark):
     big = spark.range(10_001).select("id", (F.col("id") * 2).alias("x"))
-    assert P.correlation_matrix(big) is None
-    assert P.correlation_matrix(big, force=True).first()["pearson"] == pytest.approx(1.0)
+    assert P.correlation_matrix(big).first()["pearson"] == pytest.approx(1.0)
 
 
 def test_duplicates(spark):
@@ -108,6 +107,12 @@ def test_multimodal_roles(spark):
     assert dict(rows(R.infer_multimodal(df, "id", "target"))) == {"id": "other", "title": "text", "image_path": "image"}
 
 
+def test_multimodal_roles_look_at_all_rows(spark):
+    late = spark.range(100).select("id", F.when(F.col("id") < 30, "n/a").otherwise("/tmp/x.Png").alias("picture"))
+    assert dict(rows(R.infer_multimodal(late, "id")))["picture"] == "image"
+    assert dict(rows(R.infer_multimodal(late, "id", sample_size=25)))["picture"] == "other"
+
+
 @pytest.mark.parametrize(
     "values,kind,want",
     [(["A", "B", "A"], "string", "classification"), ([1.2, 2.1, 3.4], "double", "regression"), ([1.0, 2.0, None], "double", "classification"),
