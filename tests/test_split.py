@@ -15,11 +15,11 @@ def sizes(df):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(n=st.integers(1, 400), test=st.integers(0, 50), val=st.integers(0, 40))
-def test_random_split_sizes(spark, n, test, val):
-    got = sizes(S.random_split(spark.range(n), F.col("id"), test, val))
+@given(n=st.integers(1, 400), test=st.integers(0, 50), val=st.integers(0, 40), least=st.sampled_from([0, 100]))
+def test_random_split_sizes(spark, n, test, val, least):
+    got = sizes(S.random_split(spark.range(n), F.col("id"), test, val, min_rows=least))
     n_test = -(-n * test // 100)
-    n_val = -(-(n - n_test) * val // (100 - test)) if n - n_test > 100 and val else 0
+    n_val = -(-(n - n_test) * val // (100 - test)) if n - n_test > least and val else 0
     assert got.get("test", 0) == n_test and got.get("valid", 0) == n_val
     assert sum(got.values()) == n
 
