@@ -31,7 +31,8 @@ PATTERNS = {
 }
 #: What a text must hold so that the pattern can match.
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A part of at most 255 behind its leading zeros; nothing is left of one of zeros only. The span pattern ensures digits.
+_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 _TOKEN = r"[^\s0-9@]*+[0-9@]\S*+"
 
 

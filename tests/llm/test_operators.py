@@ -303,6 +303,19 @@ def test_personal_data(spark, empty):
     assert personal.find_personal_data(empty).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    bits = ["10.0.0.1", "192.168.0.1", "0.1.2.3", "0.0.0.0", "000.00.0.0", "0255.1.1.1", "255.255.255.0", "0256.0.0.0", "10.0.0.256"]
+    bits += ["8.8.8.8", "010.1.1.1", "10.0.0", "1.0.0.300", "10..0.0.1"]
+    texts = [*bits, " ".join(bits), "é at 10.0.0.1, then 0.0.0.0."]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = personal.find_personal_data(table)
+    spans = {r.doc_id: [tuple(s) for s in r.base] for r in found.select("doc_id", "base").collect()}
+    assert spans == {i: base_spans(x) for i, x in enumerate(texts)}
+    assert [len(spans[i]) for i in range(len(bits))] == [1] * 7 + [0] * 2 + [1] * 2 + [0] * 3
+    masked = table.join(found.select("doc_id", "base"), "doc_id").select("doc_id", personal.mask(F.col("text"), F.col("base")).alias("m"))
+    assert {r.doc_id: r.m for r in masked.collect()}[len(texts) - 1] == "é at [IP], then [IP]."
+
+
 def test_contexts_find_unseen(spark):
     rows = [(i, f"seen badge user{i}@mail.example x") for i in range(30)] + [(99, "seen badge AB-7731-C, and page 12345678 x")]
     found = personal.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
