@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import explain, forecast, models, scoring
 from tabloom.operators.encode import vector_from_array
 from tabloom.operators.isolation import IsolationForest
+from tabloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +108,24 @@ def test_shapley_of_a_linear_model(mixed):
             assert values[i, f] == pytest.approx(want, abs=1e-6)
 
 
+def test_linear_background_is_all_training_rows(mixed):
+    table = mixed.select("id", "a", "b", "y")
+    model = models.train(table, "y", "id", "lr", "regression")
+    got = explain.explain_rows(model, table, table, "id", ["a", "b"])
+    whole = explain.explain_rows(model, table, table, "id", ["a", "b"], background_rows=240)
+    want = {(r["id"], r["feature"]): r["attribution"] for r in whole.collect()}
+    found = {(r["id"], r["feature"]): r["attribution"] for r in got.collect()}
+    assert len(found) == 480 and found == pytest.approx(want, abs=1e-6)
+
+
+def test_registered_explanations_center_on_all_rows(spark, folder):
+    table = catalog.QUERIES["i6_explain_rows"](spark, folder)
+    means = {r["feature"]: (r["m"], r["n"]) for r in table.groupBy("feature").agg(F.avg("attribution").alias("m"), F.count("*").alias("n")).collect()}
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert len(means) == 4
+    assert all(n == lines and abs(m) < 0.01 for m, n in means.values()), means
+
+
 def test_rank_positions(spark):
     df = spark.range(300).select("id", (F.col("id") % 3).alias("q"), (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10).cast("double").alias("rel"))
     _, ranked = models.rank_model(df, "id", "q", "rel", boosts=5, depth=4)
