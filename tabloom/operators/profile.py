@@ -17,6 +17,8 @@ from tabloom.operators.quantiles import exact_percentiles
 from tabloom.operators.ranks import dense_index, join_lookup, running_totals
 
 HEALTH_ALERT_PCT = 5.0
+#: Columns whose distinct values are counted exactly in one aggregate, which copies each row once a column.
+EXACT_BATCH = 4
 
 
 def _missing_counts(df: DataFrame) -> DataFrame:
@@ -322,17 +324,27 @@ def entry_defaults(df: DataFrame, exclude: list[str] | None = None) -> DataFrame
 
 
 def profile_report(df: DataFrame, rsd: float | None = 0.02) -> DataFrame:
-    """Missing, distinct, zeros, mean, deviation, range and text length of every column in a single scan."""
+    """Missing, distinct, zeros, mean, deviation, range and text length of every column in a single scan.
+
+    Without `rsd` distinct values are counted exactly, in one more scan for each `EXACT_BATCH` columns.
+    """
     numbers, strings = set(numeric_columns(df)), set(string_columns(df))
     aggs = [F.count("*").alias("n")]
+    distinct = [_distinct(df, c, rsd).alias(f"u{i}") for i, c in enumerate(df.columns)]
+    if rsd is not None:
+        aggs += distinct
     for i, c in enumerate(df.columns):
-        aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}"), _distinct(df, c, rsd).alias(f"u{i}")]
+        aggs.append(F.count_if(is_missing(df, c)).alias(f"m{i}"))
         if c in numbers:
             v = present(df, c).cast("double")
             aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"l{i}")]
             aggs += [F.max(v).alias(f"h{i}"), F.count_if(v == 0).alias(f"z{i}")]
         elif c in strings:
             aggs.append(F.avg(F.length(ref(c))).alias(f"a{i}"))
+    one = df.agg(*aggs)
+    if rsd is None:
+        for at in range(0, len(distinct), EXACT_BATCH):
+            one = one.crossJoin(df.agg(*distinct[at : at + EXACT_BATCH]))
     empty = F.lit(None).cast("double")
     rows = []
     for i, f in enumerate(df.schema):
@@ -353,4 +365,4 @@ def profile_report(df: DataFrame, rsd: float | None = 0.02) -> DataFrame:
                 (F.col(f"a{i}") if c in strings else empty).alias("mean_length"),
             )
         )
-    return long_rows(df.agg(*aggs), rows)
+    return long_rows(one, rows)

@@ -272,3 +272,27 @@ _REPORT = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 )
 def b_report(t):
     return _rounded(P.profile_report(t.lineitem.select(*_REPORT), rsd=None), ["mean", "std", "mean_length"])
+
+
+_WHOLE = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz",
+}
+
+
+def _whole_sql(c: str, dtype: str) -> str:
+    number, text = dtype in ("bigint", "int", "double"), dtype == "string"
+    figures = [f"round(avg({c}), 4)", f"round(stddev_samp({c}), 4)", f"min({c})::double", f"max({c})::double"]
+    named = zip(figures, ("mean", "std", "min", "max"))
+    return (
+        f"""select '{c}' as "column", '{dtype}' as dtype, count(*) as n_rows, count(*) - count({c}) as missing, count(distinct {c}) as n_unique, """
+        + ", ".join(f"{x if number else 'null::double'} as {n}" for x, n in named)
+        + f", {f'count(*) filter ({c} = 0)' if number else 'null::bigint'} as zeros, "
+        + f"{f'round(avg(length({c})), 4)' if text else 'null::double'} as mean_length from lineitem"
+    )
+
+
+@query("b_profile_report_whole", union(_whole_sql(c, dtype) for c, dtype in _WHOLE.items()))
+def b_report_whole(t):
+    return _rounded(P.profile_report(t.lineitem, rsd=None), ["mean", "std", "mean_length"])

@@ -17,6 +17,7 @@ from tabloom.operators import profile as P
 from tabloom.operators import roles as R
 from tabloom.operators import tracking as T
 from tabloom.operators.tfidf import TfIdf
+from tabloom.plans import catalog
 from tabloom.session import scratch_path
 
 
@@ -242,3 +243,9 @@ def test_clean_line(spark):
     df = spark.createDataFrame([("\t 10% █▌▄ <a&b> \n",), (" \n",)], "line string")
     got = L.classify_lines(L.clean_lines(df)).collect()
     assert [(r["line"], r["safe_line"]) for r in got] == [("10% #|- <a&b>", "10% #|- &lt;a&amp;b&gt;")]
+
+
+def test_whole_report_has_every_column(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    got = {r["column"]: r["n_unique"] for r in catalog.QUERIES["b_profile_report_whole"](spark, folder).collect()}
+    assert got == {c: lines.select(c).distinct().count() for c in lines.columns}
