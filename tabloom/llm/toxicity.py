@@ -8,8 +8,9 @@ one weight for each subsequence, which gives the same decision for each word at
 
 Labels are given for documents: the score of a document is that of its worst word. Training picks in each toxic
 document witness words, first those that stand significantly more often in toxic documents, then, in documents without
-one, the worst word by the machine itself; counterexamples are random and worst words of clean documents. Scores are calibrated by a logistic curve. It uses
-at most `FIT_TOXIC` and `FIT_CLEAN` labelled rows of at most `FIT_CHARS` characters, on the driver.
+one, the worst word by the machine itself; counterexamples are random and worst words of clean documents. Scores are
+calibrated by a logistic curve. The fit is one task over at most `FIT_TOXIC` and `FIT_CLEAN` labelled rows, chosen by
+hash among those of at most `FIT_CHARS` characters; nothing of the sample comes to the driver.
 
 Null and empty texts score as texts without any word, near 0. Without rows of both labels all scores are 0. Characters
 beyond Latin-1 share one letter. Repeated rows get equal results.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.arrays import chunks, flatten, span_hashes, words
@@ -227,19 +228,36 @@ def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Tox
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
-    """A model from the texts of `docs` and the column toxic of `labels`; null without both kinds of rows."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    usable = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    most = F.when(F.col("toxic") == 1, FIT_TOXIC).otherwise(FIT_CLEAN)
-    chosen = F.broadcast(usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most))  # bounded
-    short = docs.where(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text")
-    sample = short.join(chosen.select("doc_id", "toxic"), "doc_id").toArrow()
-    rows = sorted(set(zip(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), sample["toxic"].to_pylist())))
-    toxic = np.array([t for _, _, t in rows], dtype=np.int64)
-    if not 0 < toxic.sum() < len(rows):
-        return None
-    return _fit([x for _, x, _ in rows], toxic)
+def chosen_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and toxic of the rows to fit on: of each label those with the smallest hashes among the usable ones."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = docs.where(F.length(text).between(1, FIT_CHARS)).select("doc_id").distinct().join(known, "doc_id")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    most = ((1, FIT_TOXIC), (0, FIT_CLEAN))
+    toxic, clean = (usable.where(F.col("toxic") == value).orderBy(*order).limit(n) for value, n in most)
+    return toxic.unionByName(clean)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel | None:
+    """A model from the texts of `docs` and the column toxic of `labels`; null without both kinds of rows.
+
+    The fit is one task on an executor over at most `FIT_TOXIC` + `FIT_CLEAN` rows; one row of weights comes back.
+    """
+    chosen = F.broadcast(chosen_rows(docs, labels, text))  # bounded by the sample sizes
+    short = docs.where(F.length(text).between(1, FIT_CHARS)).select("doc_id", F.col(text).alias("text"))
+    sample = short.join(chosen, "doc_id").select("doc_id", "text", "toxic")
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted({r for frame in frames for r in zip(frame["doc_id"], frame["text"], frame["toxic"])})
+        toxic = np.array([t for _, _, t in rows], dtype=np.int64)
+        if 0 < toxic.sum() < len(rows):
+            model = _fit([x for _, x, _ in rows], toxic)
+            figures = {"weights": [model.weights], "bias": model.bias, "slope": model.slope, "offset": model.offset}
+            yield pd.DataFrame(figures)
+
+    names = "weights array<double>, bias double, slope double, `offset` double"
+    found = sample.repartition(1).mapInPandas(fit, names).collect()  # one row, one number a subsequence
+    return ToxicityModel(np.array(found[0]["weights"]), *found[0][1:]) if found else None
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
