@@ -1,7 +1,9 @@
 """The stages of the corpus pipeline: documents in, documents out, and packed pieces at the end.
 
 A stage takes (spark, docs, folder of the tables). All but the last keep the columns of `docs`, whatever else they are
-called; where a text changes, n_chars follows it. Null texts stay null, clean documents stay as they are.
+called (names that begin with two underscores are reserved); where a text changes, n_chars follows it. Null texts stay
+null, clean documents stay as they are. Repeated rows count as copies of each other only for near duplicates. An empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -39,10 +41,17 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates.
+
+    Texts without words are duplicates of nothing and all stay. Of rows that agree in id and text one stays; rows that
+    share an id but differ in their text go or stay together.
+    """
     kept = near_duplicates(docs, words=5).where("doc = component_id").select(F.col("doc").alias("__doc")).distinct()
-    keyed = docs.withColumn("__doc", row_key()).join(kept, "__doc", "left_semi").dropDuplicates(["__doc"])
-    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    apart = F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    keyed = docs.withColumns({"__doc": row_key(), "__print": text_print(), "__apart": apart})
+    single = keyed.join(kept, "__doc", "left_semi").dropDuplicates(["__doc", "__print", "__apart"])
+    return single.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
