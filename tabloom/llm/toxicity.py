@@ -6,10 +6,11 @@ letters they imitate, letters spaced out one by one are read as one word. The ke
 linear in the kernel values to the landmarks, whitened by their kernel matrix; its sum over landmarks is folded into
 one weight for each subsequence, which gives the same decision for each word at the cost of its own subsequences.
 
-Labels are given for documents: the score of a document is that of its worst word. Training picks in each toxic
-document witness words, first those that stand significantly more often in toxic documents, then, in documents without
-one, the worst word by the machine itself; counterexamples are random and worst words of clean documents. Scores are
-calibrated by a logistic curve. The fit is one task over at most `FIT_TOXIC` and `FIT_CLEAN` labelled rows, chosen by
+Labels are given for documents, and an item of the machine is one word: the score of a document is that of its worst
+word. Training picks in toxic documents witness words, first those that stand significantly more often there, weighted
+by the documents they stand in, then, in documents without one, the worst word by the machine itself; counterexamples
+are random clean words and, round by round, the worst words of clean documents. Scores are calibrated by a logistic
+curve. The fit is one task over at most `FIT_TOXIC` and `FIT_CLEAN` labelled rows, chosen by
 hash among those of at most `FIT_CHARS` characters; nothing of the sample comes to the driver.
 
 Null and empty texts score as texts without any word, near 0. Without rows of both labels all scores are 0. Characters
@@ -30,7 +31,13 @@ from tabloom.llm.arrays import chunks, flatten, span_hashes, words
 from tabloom.llm.pretokens import Known
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1200, 2400, 20_000
-LANDMARKS = 128
+LANDMARKS = 256
+#: Rounds of the fit; clean words drawn at random and, in each round, the clean words with the largest margins that
+#: join them; witness words used, the most frequent ones first.
+ROUNDS, CLEAN_WORDS, HARD_WORDS, WITNESSES = 5, 6000, 2000, 1500
+#: Weight of all witnesses together against all clean words, and of a witness with a letter put in against itself. A
+#: clean document has hundreds of words and none of them may look toxic, so clean words weigh most.
+TOXIC_SHARE, STRETCHED = 0.1, 0.3
 #: Words and dense rows that are worked on at once.
 WORDS, ROWS = 10_000, 150
 DECAY = 0.7
@@ -146,13 +153,12 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     full = np.column_stack((x, np.ones(len(x))))
     penalty = np.diag(np.append(np.full(x.shape[1], ridge), 1e-9))
     w, before = np.zeros(full.shape[1]), None
-    for _ in range(50):
+    for _ in range(30):
         inside = y * (full @ w) < 1
         if before is not None and (inside == before).all():
             break
@@ -162,69 +168,81 @@ def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _curve(margin: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, by Newton steps with a light damping."""
+    x, at = np.column_stack((margin, np.ones(len(margin)))), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        bend = (x.T * (p * (1 - p) + 1e-6)) @ x / len(x) + np.diag([1e-4, 0.0])
+        at = at - np.linalg.solve(bend, x.T @ (p - target) / len(x) + np.array([1e-4 * at[0], 0.0]))
+    return float(at[0]), float(at[1])
+
+
 def _stretched(word: str, draw: np.random.Generator) -> str:
     """The word with one letter put in."""
     at = int(draw.integers(1, max(2, len(word))))
     return word[:at] + chr(97 + int(draw.integers(26))) + word[at:]
 
 
-def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> ToxicityModel:
-    bags, same = [], {}
-    for x in texts:
-        buf, s, e, _ = word_spans([x])
-        found = {buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist()) if b - a <= 40}
-        bags.append({same.setdefault(w, w) for w in found})
-    unique = dict.fromkeys((tuple(sorted(b)), t) for b, t in zip(bags, toxic.tolist()) if b)
-    bad, good = [b for b, t in unique if t], [b for b, t in unique if not t]
-    in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
-    share = len(bad) / len(unique)
-    draw = np.random.default_rng(11)
+def _flat(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buf, starts = flatten([w.encode("latin-1", "replace") for w in items])
+    return buf, starts[:-1], starts[1:] - 1
+
+
+def _witnesses(bad: list[set[str]], in_bad: Counter, in_good: Counter, share: float) -> dict[str, int]:
+    """Words that stand significantly more often in toxic documents than their share tells, with their counts there;
+    where there are none, the most telling word of each toxic document."""
 
     def evidence(w: str) -> float:
-        """Log-likelihood ratio of the word standing more often in toxic documents than their share tells."""
         k, n = in_bad[w], in_bad[w] + in_good.get(w, 0)
         if k <= share * n:
             return 0.0
         rest = (n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0.0
         return k * np.log(k / (n * share)) + rest
 
-    certain = {w for w in in_bad if evidence(w) > EVIDENCE}
-    witness = certain or {max(b, key=lambda w: (evidence(w), w)) for b in bad}
-    clean = sorted(in_good)
-    sample = [clean[i] for i in draw.permutation(len(clean))[:6000]]
-    ranked = sorted(witness, key=lambda w: (-in_bad[w], w))
-    marks = ranked[: landmarks // 2] + sample[: landmarks // 2]
-    base = _dense(marks)
-    kernel = base @ base.T
-    values, vectors = np.linalg.eigh(kernel.astype(np.float64))
-    white = vectors / np.sqrt(np.maximum(values, 1e-3))
-    model, hard = None, []
-    flat_clean, flat_bad = flatten([w.encode("latin-1", "replace") for w in clean]), sorted(in_bad)
-    for _ in range(3):
-        first = ranked[:1500]
-        first = first + [_stretched(w, draw) for w in first]
-        items = first + [w for w in sample + hard if w not in witness]
-        y = np.where(np.arange(len(items)) < len(first), 1.0, -1.0)
+    certain = {w: in_bad[w] for w in in_bad if evidence(w) > EVIDENCE}
+    return certain or dict(Counter(max(b, key=lambda w: (evidence(w), w)) for b in bad))
+
+
+def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> ToxicityModel:
+    bags = []
+    for x in texts:
+        buf, s, e, _ = word_spans([x])
+        bags.append({buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist())})
+    bad, good = ([b for b, t in zip(bags, toxic) if b and t == value] for value in (1, 0))
+    in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
+    witness = _witnesses(bad, in_bad, in_good, len(bad) / max(len(bad) + len(good), 1))
+    draw = np.random.default_rng(11)
+    clean, of_bad = sorted(in_good), sorted(in_bad)
+    sample = [clean[i] for i in draw.permutation(len(clean))[:CLEAN_WORDS]]
+    against, hard = [w for w in sample if w not in witness], []
+    flat_clean, flat_bad = _flat(clean), _flat(of_bad)
+    model = ToxicityModel(np.zeros(1 << 3 * _BITS), -1.0)
+    for _ in range(ROUNDS if witness else 0):
+        first = sorted(witness, key=lambda w: (-witness[w], w))[:WITNESSES]
+        marks = list(dict.fromkeys(first[: landmarks // 2] + hard[: landmarks // 4] + sample[:landmarks]))[:landmarks]
+        base = _dense(marks)
+        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        white = vectors / np.sqrt(np.maximum(values, 1e-3))
+        items = first + [_stretched(w, draw) for w in first] + against
+        y = np.where(np.arange(len(items)) < 2 * len(first), 1.0, -1.0)
+        often = np.array([witness[w] for w in first], dtype=float)
+        share = np.concatenate((often, STRETCHED * often, np.ones(len(against))))
+        for side, part in ((1, TOXIC_SHARE), (-1, 1 - TOXIC_SHARE)):
+            share[y == side] *= part / max(share[y == side].sum(), 1e-9)
         x = np.vstack([_dense(items[i : i + ROWS]) @ base.T for i in range(0, len(items), ROWS)]) @ white
-        w, b = _machine(x, y)
+        w, b = _machine(x, y, share)
         model = ToxicityModel((base.T @ (white @ w)).astype(np.float64), b)
-        buf, starts = flat_clean
-        margin = model.word_margins(buf, starts[:-1], starts[1:] - 1)
-        hard = [clean[i] for i in np.argsort(-margin)[:2000]]
-        buf, starts = flatten([v.encode("latin-1", "replace") for v in flat_bad])
-        of_bad = dict(zip(flat_bad, model.word_margins(buf, starts[:-1], starts[1:] - 1)))
-        lost = [b for b in bad if not witness.intersection(b)]
-        more = {max(b, key=lambda v: (of_bad[v], v)) for b in lost}
-        witness |= {v for v in more if of_bad[v] > 0 and v not in in_good}
-        ranked = sorted(witness, key=lambda v: (-in_bad[v], v))
-    known = Known(dtype=np.float64)
-    margin = np.array(list(model.margins(texts, known)))
-    a, c, target = 1.0, 0.0, toxic.astype(float)
-    for _ in range(300):  # logistic curve, slightly damped
-        p = 1 / (1 + np.exp(-np.clip(a * margin + c, -40, 40)))
-        a -= 2.0 * (np.mean((p - target) * margin) + 0.001 * a)
-        c -= 2.0 * np.mean(p - target)
-    model.slope, model.offset = float(a), float(c)
+        margin = model.word_margins(*flat_clean)
+        hard = [clean[i] for i in np.argsort(-margin, kind="stable")[:HARD_WORDS]]
+        taken = set(against)
+        against += [v for v in hard if v not in taken and v not in witness]
+        # Toxic documents without a witness give their worst word if no clean word is as bad.
+        worst = dict(zip(of_bad, model.word_margins(*flat_bad)))
+        more = Counter(max(b, key=lambda v: (worst[v], v)) for b in bad if witness.keys().isdisjoint(b))
+        witness |= {v: n for v, n in more.items() if v not in in_good and worst[v] > margin.max(initial=0.0)}
+    margins = np.array(list(model.margins(texts, Known(dtype=np.float64))))
+    model.slope, model.offset = _curve(margins, toxic.astype(float))
     return model
 
 
