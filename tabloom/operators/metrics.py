@@ -116,7 +116,8 @@ def _class_score_counts(df: DataFrame, label: str, scores: dict[str, str]) -> Da
     return triples.groupBy("class", "score", "label").agg(F.count("*").alias("n"))
 
 
-def _group_auc(counts: DataFrame, by: list[str], **tuning) -> DataFrame:
+def grouped_auc(counts: DataFrame, by: list[str], **tuning) -> DataFrame:
+    """Area per group from counts (by, score, pos, neg)."""
     sums = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = running_totals(sums, "score", {"neg_before": "neg"}, by, **tuning)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
@@ -129,7 +130,7 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: dict[str, str], **tuning) ->
     counts = _class_score_counts(df, label, scores).withColumns(
         {"pos": F.when(own, F.col("n")).otherwise(0), "neg": F.when(own, 0).otherwise(F.col("n"))}
     )
-    return _group_auc(counts, ["class"], **tuning).agg(F.avg("auc").alias("roc_auc_ovr"))
+    return grouped_auc(counts, ["class"], **tuning).agg(F.avg("auc").alias("roc_auc_ovr"))
 
 
 def roc_auc_ovo(df: DataFrame, label: str, scores: dict[str, str], **tuning) -> DataFrame:
@@ -143,7 +144,7 @@ def roc_auc_ovo(df: DataFrame, label: str, scores: dict[str, str], **tuning) ->
     pairs = counts.withColumn("rival", F.explode(rivals)).withColumns(
         {"pos": F.when(own, F.col("n")).otherwise(zero), "neg": F.when(own, zero).otherwise(F.col("n"))}
     )
-    return _group_auc(pairs, ["class", "rival"], **tuning).agg(F.avg("auc").alias("roc_auc_ovo"))
+    return grouped_auc(pairs, ["class", "rival"], **tuning).agg(F.avg("auc").alias("roc_auc_ovo"))
 
 
 def log_loss(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:

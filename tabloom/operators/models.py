@@ -9,10 +9,8 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -25,15 +23,18 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref, string_columns
+from tabloom.operators.budget import Budget, OutOfTime, run_within
 from tabloom.operators.clean import drop_null_target, drop_targets, per_label_subset
 from tabloom.operators.encode import CategoryIndex, FeatureAssembly
+from tabloom.operators.metrics import CLIP, grouped_auc
+from tabloom.operators.pipelines import AssemblyStage, OutcomeStage, apply_to, probabilities
 from tabloom.operators.ranks import group_rank
 from tabloom.operators.roles import detect_problem_type, infer_multimodal
-from tabloom.operators.split import kfold_assign
+from tabloom.operators.split import kfold_assign, with_class_weight
 
 SEED = 42
 Candidate = Callable[[int], object]
@@ -44,7 +45,9 @@ METRICS = {
     "classification": ["accuracy", "f1_macro", "f1_weighted"],
     "regression": ["r2", "mse", "rmse", "mae"],
 }
-LOSSES = {"mse", "rmse", "mae", "mase"}
+LOSSES = {"mse", "rmse", "mae", "mase", "mape", "log_loss"}
+# Metrics that a board is ranked by on request.
+MORE_METRICS = {"classification": ["balanced_accuracy", "log_loss", "roc_auc"], "regression": ["mape"]}
 
 
 def classifiers(n_classes: int, include=None, exclude=None, **params) -> dict[str, Candidate]:
@@ -75,6 +78,11 @@ def regressors(include=None, exclude=None, **params) -> dict[str, Candidate]:
     return _pick(makers, include, exclude)
 
 
+def weighted(makers: dict[str, Candidate], column: str = "weight") -> dict[str, Candidate]:
+    """The same makers with rows weighted by a column of the encoded table."""
+    return {n: (lambda seed, make=make: make(seed).setWeightCol(column)) for n, make in makers.items()}
+
+
 def _pick(makers, include, exclude):
     for name in [*(include or []), *(exclude or [])]:
         if name not in makers:
@@ -84,11 +92,7 @@ def _pick(makers, include, exclude):
 
 def class_probabilities(scored: DataFrame) -> Column:
     """Probability array of a scored table; one-vs-rest margins are turned into shares."""
-    if "probability" in scored.columns:
-        return vector_to_array("probability")
-    odds = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(odds, lambda x: x / total)
+    return probabilities("probability" if "probability" in scored.columns else None, "rawPrediction")
 
 
 def group_scores(scored: DataFrame, by: list[str], task: str) -> DataFrame:
@@ -119,6 +123,29 @@ def group_scores(scored: DataFrame, by: list[str], task: str) -> DataFrame:
     )
 
 
+def more_scores(oof: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """One further metric per group: from labels and class probabilities, or from labels and predictions."""
+    if metric == "balanced_accuracy":
+        hit = (F.col("label") == F.col("prediction")).cast("double")
+        recalls = oof.groupBy(*by, "label").agg(F.avg(hit).alias("recall"))
+        return recalls.groupBy(*by).agg(F.avg("recall").alias(metric))
+    if metric == "log_loss":
+        p = F.coalesce(F.get("proba", F.col("label").cast("int")), F.lit(0.0))
+        clipped = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
+        return oof.groupBy(*by).agg(F.avg(-F.log(clipped)).alias(metric))
+    if metric == "roc_auc":
+        # Each class against the rest; of two classes the second one alone, as both give the same area.
+        each = oof.select(*by, "label", F.size("proba").alias("k"), F.posexplode("proba").alias("class", "score"))
+        each = each.where((F.col("k") != 2) | (F.col("class") == 1))
+        own = F.col("label") == F.col("class")
+        counts = each.groupBy(*by, "class", "score").agg(F.count_if(own).alias("pos"), F.count_if(~own).alias("neg"))
+        return grouped_auc(counts, [*by, "class"]).groupBy(*by).agg(F.avg("auc").alias(metric))
+    if metric == "mape":
+        size = F.greatest(F.abs("label"), F.lit(2.0**-52))
+        return oof.groupBy(*by).agg(F.avg(F.abs(F.col("label") - F.col("prediction")) / size).alias(metric))
+    raise ValueError(f"unknown metric {metric}")
+
+
 class TrainedModel:
     """Feature assembly, fitted estimator and label numbering; scores any table with the feature columns."""
 
@@ -128,6 +155,19 @@ class TrainedModel:
     def score(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.assembly.transform(df))
 
+    def pipeline(self, name: str = "Predictions") -> PipelineModel:
+        """Assembly, estimator and label names as one fitted pipeline."""
+        return PipelineModel([AssemblyStage(self.assembly), self.model, OutcomeStage(self.labels, self.target, self.task, name)])
+
+    def save(self, path: str) -> None:
+        """Write the pipeline to a folder, in place of what it held."""
+        self.pipeline().write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TrainedModel":
+        first, model, last = PipelineModel.read().session(spark).load(path).stages
+        return cls(first.assembly, model, last.labels, last.target, last.task)
+
     def value(self, df: DataFrame, class_index: int = 1) -> DataFrame:
         """Adds `value`: the prediction of a regressor, the probability of one class of a classifier."""
         scored = self.score(df)
@@ -136,13 +176,7 @@ class TrainedModel:
 
     def predict(self, df: DataFrame, name: str = "Predictions") -> DataFrame:
         """The table without the target, plus the (decoded) prediction; needs no target column."""
-        features = drop_targets(df, self.target)
-        scored = self.score(features)
-        if self.labels is not None:
-            out = self.labels.decode(scored, self.target, "prediction", name)
-        else:
-            out = scored.withColumn(name, F.col("prediction"))
-        return out.select(*features.columns, name)
+        return apply_to(self.pipeline(name), drop_targets(df, self.target))
 
 
 def encode_target(df: DataFrame, target: str, task: str) -> tuple[CategoryIndex | None, DataFrame]:
@@ -155,57 +189,69 @@ def encode_target(df: DataFrame, target: str, task: str) -> tuple[CategoryIndex
     return index, numbered.withColumn("label", F.col(f"{target}_n").cast("double")).drop(f"{target}_n", "_y")
 
 
-def prepare(df: DataFrame, target: str, task: str | None, key: str, exclude=None, **assembly):
-    """Fitted assembly, label numbering and the encoded table (key, label, features)."""
+def prepare(df: DataFrame, target: str, task: str | None, key: str, exclude=None, class_weight: str | None = None, **assembly):
+    """Fitted assembly, label numbering and the encoded table (key, label, features).
+
+    With `class_weight` "balanced" the encoded table also has the weight n / (k * n_c) of each row's class.
+    """
     task = task or detect_problem_type(df, target).first()["problem_type"]
     labels, labelled = encode_target(df, target, task)
     features = FeatureAssembly.fit(
         labelled.drop("label"), target, exclude=[key, *(exclude or [])], **assembly
     )
     encoded = features.transform(labelled).select(key, "label", "features")
+    if class_weight not in (None, "balanced"):
+        raise ValueError("class_weight is None or 'balanced'")
+    if class_weight and task == "classification":
+        encoded = with_class_weight(encoded, "label")
     return task, features, labels, encoded
 
 
-def candidates_for(task: str, labels: CategoryIndex | None, include=None, exclude=None, **params) -> dict[str, Candidate]:
+def candidates_for(
+    task: str, labels: CategoryIndex | None, include=None, exclude=None, class_weight: str | None = None, **params
+) -> dict[str, Candidate]:
     if task == "classification":
-        return classifiers(labels.table.count(), include, exclude, **params)
+        makers = classifiers(labels.table.count(), include, exclude, **params)
+        return weighted(makers) if class_weight else makers
     return regressors(include, exclude, **params)
 
 
-def fit_all(encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 8) -> dict[str, object]:
-    """Fit every candidate; fits are submitted side by side so that small ones share the cluster."""
-
-    def fit(item):
-        return item[0], item[1](seed).fit(encoded)
-
-    with ThreadPool(min(parallelism, len(makers))) as pool:
-        return dict(pool.map(inheritable_thread_target(encoded.sparkSession)(fit), list(makers.items())))
+def fit_all(
+    encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 8, time_limit: float | None = None
+) -> dict[str, object]:
+    """Fit every candidate; fits are submitted side by side so that small ones share the cluster. With a limit in
+    seconds only the candidates fitted by then come back."""
+    jobs = {name: (lambda make=make: make(seed).fit(encoded)) for name, make in makers.items()}
+    return run_within(encoded.sparkSession, jobs, time_limit, parallelism)
 
 
 def cross_validate(
     encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8,
-    partitions: int | None = None,
+    partitions: int | None = None, time_limit: float | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate.
 
     Rows are dealt over `partitions` (default: the session's shuffle partitions) by a hash of the key; tree fits
-    depend on that number, as their bagging is drawn per partition.
+    depend on that number, as their bagging is drawn per partition. With a limit in seconds, candidates whose folds
+    are not all fitted by then are left out; without any whole candidate `OutOfTime` is raised.
     """
     folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
     partitions = partitions or int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folds = folds.repartition(partitions, F.col(key)).cache()
+    limit = Budget(time_limit)
     folds.count()
 
-    def one(job):
-        name, fold = job
+    def one(name: str, fold: int) -> DataFrame:
         model = makers[name](seed).fit(folds.where(F.col("fold") != fold))
         scored = model.transform(folds.where(F.col("fold") == fold))
         proba = class_probabilities(scored) if task == "classification" else F.array(F.col("prediction"))
         return scored.select(F.lit(name).alias("model"), "fold", key, "label", "prediction", proba.alias("proba"))
 
-    jobs = list(itertools.product(makers, range(k)))
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        parts = pool.map(inheritable_thread_target(encoded.sparkSession)(one), jobs)
+    jobs = {(name, fold): (lambda name=name, fold=fold: one(name, fold)) for name, fold in itertools.product(makers, range(k))}
+    done = run_within(encoded.sparkSession, jobs, limit.left(), parallelism)
+    parts = [p for (name, _), p in done.items() if all((name, fold) in done for fold in range(k))]
+    if not parts:
+        raise OutOfTime(f"no candidate was fitted on all folds within {time_limit} seconds")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -213,10 +259,18 @@ def cross_validate(
 
 
 def cv_leaderboard(oof: DataFrame, task: str, metric: str | None = None) -> DataFrame:
-    """Candidates ranked by the mean fold score: model, mean and deviation of every metric, rank."""
+    """Candidates ranked by the mean fold score: model, mean of every metric, deviation of the ranking one, rank.
+
+    A ranking metric beyond the usual ones (`MORE_METRICS`) becomes a column of its own.
+    """
     metric = metric or DEFAULT_METRIC[task]
-    per_fold = group_scores(oof, ["model", "fold"], task)
-    aggs = [F.avg(m).alias(m) for m in METRICS[task]] + [F.coalesce(F.stddev_pop(metric), F.lit(0.0)).alias("std")]
+    if metric not in METRICS[task] + MORE_METRICS[task]:
+        raise ValueError(f"unknown metric {metric} for {task}")
+    per_fold, shown = group_scores(oof, ["model", "fold"], task), METRICS[task]
+    if metric not in shown:
+        per_fold = per_fold.join(more_scores(oof, ["model", "fold"], metric), ["model", "fold"], "left")
+        shown = [*shown, metric]
+    aggs = [F.avg(m).alias(m) for m in shown] + [F.coalesce(F.stddev_pop(metric), F.lit(0.0)).alias("std")]
     board = per_fold.groupBy("model").agg(*aggs)
     return _ranked(board, metric)
 
@@ -243,43 +297,54 @@ def search_size(time_limit: float | None) -> int:
 # Values a random search draws from, per model family.
 SPACE = {
     "lr": {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "nb": {"smoothing": [0.1, 0.5, 1.0, 2.0]},
+    "nb": {},  # the Gaussian form has none
     "rf": {"numTrees": [10, 20, 40], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5, 20]},
     "gbt": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.3]},
 }
 
 
 def draw_settings(family: str, n_iter: int, seed: int = SEED) -> list[dict]:
-    """Distinct parameter settings in seeded order."""
+    """Distinct parameter settings in seeded order; none for a family without settings."""
+    if not SPACE[family]:
+        return []
     grid = [dict(zip(SPACE[family], values)) for values in itertools.product(*SPACE[family].values())]
     random.Random(seed).shuffle(grid)
     return grid[:n_iter]
 
 
-def random_search(
-    encoded: DataFrame, key: str, family: str, maker: Candidate, task: str, time_limit: float | None = None, k: int = 3,
-    n_iter: int | None = None, metric: str | None = None, seed: int = SEED, parallelism: int = 8,
-) -> tuple[DataFrame, str, dict]:
-    """Cross-validated random search around one family; the untuned model is kept unless a setting beats it.
+def tuned(maker: Candidate, values: dict) -> Candidate:
+    """A maker with other settings; those of one-vs-rest go to its inner estimator."""
 
-    Returns the leaderboard, the winner's name and its settings.
-    """
-    settings = {f"{family}#{i}": s for i, s in enumerate(draw_settings(family, n_iter or search_size(time_limit), seed), 1)}
+    def make(seed: int):
+        estimator = maker(seed)
+        if isinstance(estimator, OneVsRest):
+            return estimator.setClassifier(estimator.getClassifier().copy().setParams(**values))
+        return estimator.setParams(**values)
 
-    def tuned(values):
-        def make(seed):
-            estimator = maker(seed)
-            inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-            inner.setParams(**values)
-            return OneVsRest(classifier=inner) if isinstance(estimator, OneVsRest) else inner
+    return make
 
-        return make
 
-    makers = {f"{family}#0": maker, **{n: tuned(s) for n, s in settings.items()}}
-    oof = cross_validate(encoded, key, makers, task, k, seed, parallelism)
+def search(
+    encoded: DataFrame, key: str, family: str, maker: Candidate, task: str, time_limit: float | None = None, k: int = 3,
+    n_iter: int | None = None, metric: str | None = None, seed: int = SEED, parallelism: int = 8,
+) -> tuple[DataFrame, DataFrame, str, Candidate, dict]:
+    """Out-of-fold predictions of the untuned model and of drawn settings, the board, and the winner with its maker and
+    settings. Settings that are not fitted when the limit has passed are left out; the untuned model comes first."""
+    settings = {f"{family}#{i}": s for i, s in enumerate(draw_settings(family, n_iter or search_size(time_limit), seed), 1)}
+    makers = {f"{family}#0": maker, **{n: tuned(maker, s) for n, s in settings.items()}}
+    oof = cross_validate(encoded, key, makers, task, k, seed, parallelism, time_limit=time_limit)
     # Ties go to the smaller name, and #0 is the untuned model.
     board, best = compare_models(oof, task, metric, 1)
-    return board, best[0], settings.get(best[0], {})
+    return oof, board, best[0], makers[best[0]], settings.get(best[0], {})
+
+
+def random_search(encoded: DataFrame, key: str, family: str, maker: Candidate, task: str, *args, **options) -> tuple[DataFrame, str, dict]:
+    """Cross-validated random search around one family; the untuned model is kept unless a setting beats it.
+
+    Returns the leaderboard, the winner's name and its settings.
+    """
+    _, board, winner, _, settings = search(encoded, key, family, maker, task, *args, **options)
+    return board, winner, settings
 
 
 def topology_search(encoded: DataFrame, key: str, task: str, k: int = 3, components: int = 4, seed: int = SEED) -> DataFrame:
@@ -345,17 +410,24 @@ def label_time_share(time_limit: float, n_targets: int) -> float:
     return max(30, time_limit / n_targets)
 
 
-def fit_multilabel(df: DataFrame, targets: list[str], key: str, family: str = "lr", exclude=None, k: int = 3, **params):
-    """One model per target, the other targets dropped; returns the models and (target, best_score) rows."""
+def fit_multilabel(
+    df: DataFrame, targets: list[str], key: str, family: str = "lr", exclude=None, k: int = 3, time_limit: float | None = None,
+    **params,
+):
+    """One model per target, the other targets dropped; returns the models and (target, best_score) rows.
+
+    With a limit, the cross-validation of each target gets its share of it.
+    """
     if len(targets) < 2:
         raise ValueError("multi-label training needs at least two targets")
     models, scores = {}, None
+    share = None if time_limit is None else label_time_share(time_limit, len(targets))
     for target in targets:
         own = per_label_subset(df, target, targets)
         task, assembly, labels, encoded = prepare(own, target, None, key, exclude)
         encoded = encoded.cache()
         makers = candidates_for(task, labels, [family], **params)
-        board = cv_leaderboard(cross_validate(encoded, key, makers, task, k), task)
+        board = cv_leaderboard(cross_validate(encoded, key, makers, task, k, time_limit=share), task)
         models[target] = TrainedModel(assembly, makers[family](SEED).fit(encoded), labels, target, task)
         row = board.select(F.lit(target).alias("target"), F.col(DEFAULT_METRIC[task]).alias("best_score"))
         scores = row if scores is None else scores.unionByName(row)
@@ -410,10 +482,13 @@ def fit_multimodal_table(df: DataFrame, target: str, key: str, family: str = "lr
     return TrainedModel(assembly, maker(SEED).fit(encoded), labels, target, task)
 
 
-def train(df: DataFrame, target: str, key: str, family: str, task: str | None = None, exclude=None, **params) -> TrainedModel:
-    """Prepare the table and fit one family on it."""
-    task, assembly, labels, encoded = prepare(df, target, task, key, exclude)
-    maker = candidates_for(task, labels, [family], **params)[family]
+def train(
+    df: DataFrame, target: str, key: str, family: str, task: str | None = None, exclude=None, class_weight: str | None = None,
+    **params,
+) -> TrainedModel:
+    """Prepare the table and fit one family on it, with `class_weight` "balanced" on rows weighted by their class."""
+    task, assembly, labels, encoded = prepare(df, target, task, key, exclude, class_weight)
+    maker = candidates_for(task, labels, [family], class_weight=class_weight, **params)[family]
     return TrainedModel(assembly, maker(SEED).fit(encoded), labels, target, task)
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import row_key
 from tabloom.operators import explain, forecast, models, scoring
 from tabloom.operators.clean import text_features
-from tabloom.operators.encode import vector_from_array
+from tabloom.operators.encode import FeatureAssembly, vector_from_array
+from tabloom.operators.ensembles import fit_ensemble
 from tabloom.operators.isolation import IsolationForest
+from tabloom.operators.pipelines import AssemblyStage
 from tabloom.plans import workflow
 from tabloom.plans.derived import CLASS_SCORES, DAILY_SQL, PREDICTIONS_SQL, daily, predictions
 from tabloom.plans.q_metrics import rounded
 from tabloom.plans.q_split import LINE_KEY
 from tabloom.plans.registry import query
+from tabloom.session import scratch_path
 
 SMALL = {"trees": 10, "boosts": 5, "depth": 4, "max_iter": 20}
 
@@ -100,6 +105,110 @@ def g8(t):
     return rounded(models.weighted_ensemble(oof.cache(), "doc_id", task), 4)
 
 
+def planted_parts(t):
+    """Parts with a value that is a linear function of two columns."""
+    y = 3 * F.col("p_size") + 0.5 * F.col("p_retailprice")
+    return t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice", y.alias("y"))
+
+
+@query(
+    "g8_ensemble_predict",
+    "select p_partkey, p_brand, p_size, p_retailprice, round(3 * p_size + 0.5 * p_retailprice, 3) as predicted from part",
+)
+def g8_predict(t):
+    table = planted_parts(t)
+    ensemble = fit_ensemble(table, "y", "p_partkey", "regression", layers=2, include=["lr", "rf"])
+    return ensemble.predict(table).withColumn("predicted", F.round("Predictions", 3)).drop("Predictions")
+
+
+def urgent_orders(t):
+    """Orders with a class that follows from their priority."""
+    rush = F.when(F.col("o_orderpriority") < "3", "rush").otherwise("calm")
+    return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus", rush.alias("kind"))
+
+
+_URGENT_SQL = """select o_orderkey, case when o_orderpriority < '3' then 'rush' else 'calm' end as "Predictions" from orders"""
+
+
+@query("g7_blend_predict", _URGENT_SQL)
+def g7_predict(t):
+    table = urgent_orders(t)
+    blend = fit_ensemble(table, "kind", "o_orderkey", "classification", weights="equal", include=["lr", "rf", "gbt"])
+    return blend.predict(table).select("o_orderkey", "Predictions")
+
+
+# Rule-made out-of-fold scores of three models that rotate the class scores.
+_OOF_SQL = f"""{PREDICTIONS_SQL}, oof as (select o_orderkey, o_orderkey % 3 as fold, case label when 'F' then 0 when 'O' then 1 else 2 end as label,
+    (p_f + 0.01) / (p_f + p_o + p_p + 0.03) as f, (p_o + 0.01) / (p_f + p_o + p_p + 0.03) as o, (p_p + 0.01) / (p_f + p_o + p_p + 0.03) as p
+    from predictions)"""
+
+
+def rule_made_scores(t):
+    """Out-of-fold table (model, fold, o_orderkey, label, prediction, proba) without any model."""
+    total = F.col("p_f") + F.col("p_o") + F.col("p_p") + 0.03
+    base = predictions(t).select(
+        "o_orderkey",
+        (F.col("o_orderkey") % 3).cast("int").alias("fold"),
+        F.when(F.col("label") == "F", 0.0).when(F.col("label") == "O", 1.0).otherwise(2.0).alias("label"),
+        *[((F.col(c) + 0.01) / total).alias(c) for c in CLASS_SCORES.values()],
+    )
+    turns = {"a": ("p_f", "p_o", "p_p"), "b": ("p_o", "p_p", "p_f"), "c": ("p_p", "p_f", "p_o")}
+    rows = [F.struct(F.lit(m).alias("model"), F.array(*columns).alias("proba")) for m, columns in turns.items()]
+    oof = base.select("fold", "o_orderkey", "label", F.inline(F.array(*rows)))
+    best = F.array_position("proba", F.array_max("proba")) - 1
+    return oof.withColumn("prediction", best.cast("double"))
+
+
+def _greedy_sql(rounds: int) -> str:
+    """The greedy selection written out round by round."""
+    own = """own as materialized (select case label when 0 then f when 1 then o else p end as a, case label when 0 then o when 1 then p else f end as b,
+    case label when 0 then p when 1 then f else o end as c from oof), n0 as (select 0 as na, 0 as nb, 0 as nc, 0.0::double as loss)"""
+    step = """l{r} as materialized (select na, nb, nc, avg(-ln(greatest(((na + 1) * a + nb * b + nc * c) / {r}, 1e-15))) as la,
+    avg(-ln(greatest((na * a + (nb + 1) * b + nc * c) / {r}, 1e-15))) as lb, avg(-ln(greatest((na * a + nb * b + (nc + 1) * c) / {r}, 1e-15))) as lc
+    from own, n{q} group by 1, 2, 3),
+    n{r} as materialized (select na + (la <= lb and la <= lc)::int as na, nb + (lb < la and lb <= lc)::int as nb, nc + (lc < la and lc < lb)::int as nc,
+    least(la, lb, lc) as loss from l{r})"""
+    steps = ", ".join(step.format(r=r, q=r - 1) for r in range(1, rounds + 1))
+    return f"""with {_OOF_SQL}, {own}, {steps}
+    select m as model, round(case m when 'a' then na when 'b' then nb else nc end / {rounds}.0, 4)::double as weight, round(loss, 4) as ensemble_loss
+    from n{rounds}, (values ('a'), ('b'), ('c')) v(m)"""
+
+
+@query("g8_greedy_weights", _greedy_sql(6))
+def g8_weights(t):
+    return rounded(models.weighted_ensemble(rule_made_scores(t), "o_orderkey", "classification", rounds=6), 4)
+
+
+_LONG_SQL = f"""{_OOF_SQL}, long as (
+    select fold, label, 'a' as model, f as p0, o as p1, p as p2 from oof union all select fold, label, 'b', o, p, f from oof
+    union all select fold, label, 'c', p, f, o from oof)"""
+
+
+@query(
+    "g4_board_by_log_loss",
+    f"""with {_LONG_SQL}, folds as (select model, fold, avg(-ln(greatest(case label when 0 then p0 when 1 then p1 else p2 end, 1e-15))) as x from long group by 1, 2),
+    board as (select model, avg(x) as x, stddev_pop(x) as s from folds group by 1)
+    select row_number() over (order by x, model) as rank, model, round(x, 6) as log_loss, round(s, 6) as std from board""",
+)
+def g4_log_loss(t):
+    return rounded(models.cv_leaderboard(rule_made_scores(t), "classification", "log_loss"), 6).select("rank", "model", "log_loss", "std")
+
+
+@query(
+    "g4_board_by_auc",
+    f"""with {_LONG_SQL}, each as (select model, fold, label, c, case c when 0 then p0 when 1 then p1 else p2 end as s from long, range(0, 3) r(c)),
+    ranked as (select model, fold, c, label = c as pos, rank() over w + (count(*) over (partition by model, fold, c, s) - 1) / 2.0 as place
+               from each window w as (partition by model, fold, c order by s)),
+    areas as (select model, fold, c, (sum(place) filter (pos) - count(*) filter (pos) * (count(*) filter (pos) + 1) / 2.0)
+              / (count(*) filter (pos) * (count(*) filter (not pos))::double) as area from ranked group by 1, 2, 3),
+    folds as (select model, fold, avg(area) as x from areas group by 1, 2),
+    board as (select model, avg(x) as x, stddev_pop(x) as s from folds group by 1)
+    select row_number() over (order by x desc, model) as rank, model, round(x, 6) as roc_auc, round(s, 6) as std from board""",
+)
+def g4_auc(t):
+    return rounded(models.cv_leaderboard(rule_made_scores(t), "classification", "roc_auc"), 6).select("rank", "model", "roc_auc", "std")
+
+
 def two_labels(t):
     docs = t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels, "doc_id")
     return docs.withColumns({c: F.col(c).cast("string") for c in ("quality", "toxic")})
@@ -191,6 +300,32 @@ def i1(t):
     return scoring.predict_batch(model, table).select("o_orderkey", "Predictions")
 
 
+@query("i1_saved_model", _URGENT_SQL)
+def i1_saved(t):
+    """The model is written to the shared folder and the copy that is read again scores."""
+    table, path = urgent_orders(t), scratch_path(t.spark, "model")
+    models.train(table, "kind", "o_orderkey", "gbt", "classification").save(path)
+    return models.TrainedModel.load(t.spark, path).predict(table).select("o_orderkey", "Predictions")
+
+
+@query(
+    "f7_saved_pipeline",
+    """with x as (select *, (o_totalprice - avg(o_totalprice) over ()) / stddev_pop(o_totalprice) over () as price,
+    dense_rank() over (order by o_orderpriority) - 1 as priority, dense_rank() over (order by o_orderstatus) - 1 as status from orders)
+    select o_orderkey, round(price, 6) as price, priority::double as priority, status::double as status from x""",
+)
+def f7_saved(t):
+    table, path = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), scratch_path(t.spark, "assembly")
+    assembly = FeatureAssembly.fit(table, exclude=["o_orderkey"])
+    PipelineModel([AssemblyStage(assembly)]).write().save(path)
+    values = vector_to_array("features")
+    names = [*assembly.numeric, *assembly.categorical]
+    place = {c: F.get(values, F.lit(i)) for i, c in enumerate(names)}
+    return PipelineModel.load(path).transform(table).select(
+        "o_orderkey", F.round(place["o_totalprice"], 6).alias("price"), place["o_orderpriority"].alias("priority"), place["o_orderstatus"].alias("status")
+    )
+
+
 @query(
     "i2_decode_predictions",
     """with d as (select o_orderstatus as label, row_number() over (order by o_orderstatus) - 1 as idx from (select distinct o_orderstatus from orders))
