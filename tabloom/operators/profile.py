@@ -6,8 +6,11 @@ profile of any width is a single scan with map-side partial aggregation.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,19 +182,47 @@ def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return long_rows(df.agg(*aggs), rows)
 
 
+def gram_sums(df: DataFrame, names: list[str], centres: list[float]) -> DataFrame:
+    """Sums over the rows that have both columns of a pair (i <= j): n, x, y, xx, yy, xy around given centres.
+
+    A task multiplies blocks of rows as matrices and hands on one row a pair; the work is that of one scan, whatever
+    the number of columns, and no expression is repeated for each pair.
+    """
+    width = len(names)
+    first, second = np.triu_indices(width)
+    schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - np.array(centres)
+            here = ~np.isnan(values)
+            values = np.where(here, values, 0.0)
+            there = here.astype(np.float64)
+            total += [there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values]
+        n, x, xx, xy = total
+        columns = [n[first, second], x[first, second], x[second, first], xx[first, second], xx[second, first], xy[first, second]]
+        indices = [pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*indices, *map(pa.array, columns)], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    numbers = df.select(*[present(df, c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    parts = numbers.mapInArrow(sums, schema)
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
 def correlation_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair from one scan."""
+    """Pearson correlation of every column pair, over the rows that have both: one scan for the means, around which no
+    digits are lost, and one for the sums of all pairs."""
     names = names or numeric_columns(df)
-    pairs = list(combinations(names, 2))
-    aggs = [
-        F.corr(present(df, a).cast("double"), present(df, b).cast("double")).alias(f"r{i}")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    rows = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("pearson"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return long_rows(df.agg(*aggs), rows)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, pearson double")
+    means = df.agg(*[F.avg(present(df, c).cast("double")) for c in names]).first()
+    sums = gram_sums(df, names, [m if m is not None and math.isfinite(m) else 0.0 for m in means]).where("i < j")
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y")))
+    pearson = F.try_divide(n * F.col("xy") - F.col("x") * F.col("y"), spread)
+    labels = F.array(*[F.lit(c) for c in names])
+    return sums.select(F.get(labels, F.col("i")).alias("column_a"), F.get(labels, F.col("j")).alias("column_b"), pearson.alias("pearson"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

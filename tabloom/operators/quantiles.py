@@ -10,22 +10,11 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import present
 from tabloom.operators.ranks import order_statistics
 
-IN_AGGREGATE_ROWS = 2_000_000
 
-
-def exact_percentiles(
-    df: DataFrame, wanted: dict[str, list[float]], in_aggregate_rows: int = IN_AGGREGATE_ROWS, **tuning
-) -> dict[str, list[float | None]]:
-    """Percentiles of several numeric columns.
-
-    `percentile` keeps every distinct value of a group in one task, so it is used only up to
-    `in_aggregate_rows` rows; larger tables take the rank-bracket search, which keeps nothing.
-    """
+def exact_percentiles(df: DataFrame, wanted: dict[str, list[float]], **tuning) -> dict[str, list[float | None]]:
+    """Percentiles of several numeric columns, all together and at any size by `order_statistics`."""
     clean = df.select(*[present(df, c).cast("double").alias(c) for c in wanted])
-    sizes = clean.agg(*[F.count(c).alias(c) for c in wanted]).first()
-    if max(sizes) <= in_aggregate_rows:
-        row = clean.agg(*[F.percentile(c, p).alias(c) for c, p in wanted.items()]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(wanted[c]) for c in wanted}
+    sizes = clean.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in wanted]).first()
     targets = {}
     for c, shares in wanted.items():
         for i, p in enumerate(shares):
@@ -33,7 +22,7 @@ def exact_percentiles(
             if sizes[c]:
                 targets[f"{c}#{i}#0"] = (c, math.floor(place) + 1)
                 targets[f"{c}#{i}#1"] = (c, math.ceil(place) + 1)
-    found = order_statistics(clean, targets, **tuning)
+    found = order_statistics(clean, targets, **tuning) if targets else {}
     out: dict[str, list[float | None]] = {}
     for c, shares in wanted.items():
         out[c] = []

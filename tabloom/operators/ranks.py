@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tabloom.functions.columns import literal, seeded_digest
 from tabloom.session import pin, spread
 
 SLICE_DIGITS = 4  # hex digits: 65,536 slices
 SMALL_SIDE_ROWS = 100_000
+#: Types that quantile sketches take.
+SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> tuple[DataFrame, bool]:
@@ -179,77 +182,115 @@ def hash_cuts(hashed: DataFrame, by: list[str], takes: dict[str, Column]) -> Dat
     )
 
 
+class _Bracket:
+    """Values of a column strictly between two found ones (None: open end), with the ranks that are sought in it."""
+
+    def __init__(self, column: str, low, high, below: int, size: int, labels: dict[str, int]):
+        self.column, self.low, self.high, self.below, self.size, self.labels = column, low, high, below, size, labels
+
+    def holds(self, data_type) -> Column:
+        c, inside = F.col(f"`{self.column}`"), F.col(f"`{self.column}`").isNotNull()
+        if self.low is not None:
+            inside = inside & (c > literal(self.low, data_type))
+        if self.high is not None:
+            inside = inside & (c < literal(self.high, data_type))
+        return inside
+
+    def shares(self, accuracy: int) -> list[float]:
+        """Places to cut at: a margin to both sides of the sought ranks that a sketch does not miss; ranks within half a
+        margin of each other share theirs."""
+        margin, cuts = 2.0 / accuracy, []
+        for place in sorted((rank - self.below) / self.size for rank in self.labels.values()):
+            if cuts and place - cuts[-1][0] < margin / 2:
+                cuts[-1][1] = place
+            else:
+                cuts.append([place, place])
+        return sorted({min(1.0, max(0.0, x)) for first, last in cuts for x in (first - margin, last + margin)})
+
+
+def _pivots(df: DataFrame, brackets: list[_Bracket], types: dict, accuracy: int) -> list[list]:
+    """Values that lie in each bracket, near the sought ranks: from one quantile sketch a bracket in a single scan, or,
+    for types without sketches, from a bounded random sample of the bracket."""
+    sketched = [b for b in brackets if isinstance(types[b.column], SKETCHED)]
+    asks = [
+        F.percentile_approx(F.when(b.holds(types[b.column]), F.col(f"`{b.column}`")), b.shares(accuracy), accuracy).alias(f"q{i}")
+        for i, b in enumerate(sketched)
+    ]
+    row = df.agg(*asks).first() if asks else []
+    found = {id(b): sorted(set(values)) for b, values in zip(sketched, row)}
+    for b in brackets:
+        if id(b) not in found:
+            column = F.col(f"`{b.column}`")
+            sample = df.where(b.holds(types[b.column])).select(column.alias("v")).orderBy(F.rand(7)).limit(accuracy)
+            values = sample.agg(F.array_sort(F.collect_list("v"))).first()[0]  # at most `accuracy` values
+            found[id(b)] = list(dict.fromkeys(values[round(s * (len(values) - 1))] for s in b.shares(accuracy)))
+    return [found[id(b)] for b in brackets]
+
+
+def _narrowed(df: DataFrame, brackets: list[_Bracket], types: dict, accuracy: int) -> tuple[dict, list[_Bracket]]:
+    """One round: cut every bracket at its pivots by exact counts. A pivot that has a sought rank settles it; other
+    ranks go to the brackets between pivots, which are smaller as no pivot belongs to them."""
+    pivots = _pivots(df, brackets, types, accuracy)
+    counts = []
+    for i, (b, values) in enumerate(zip(brackets, pivots)):
+        inside, c = b.holds(types[b.column]), F.col(f"`{b.column}`")
+        for k, v in enumerate(values):
+            at = literal(v, types[b.column])
+            counts += [F.count_if(inside & (c < at)).alias(f"lt{i}_{k}"), F.count_if(inside & (c <= at)).alias(f"le{i}_{k}")]
+    got = df.agg(*counts).first()
+    found, smaller = {}, []
+    for i, (b, values) in enumerate(zip(brackets, pivots)):
+        low, below, left = b.low, 0, dict(b.labels)
+        for k, v in enumerate([*values, None]):
+            lt, le = (got[f"lt{i}_{k}"], got[f"le{i}_{k}"]) if k < len(values) else (b.size, b.size)
+            own = {n: r for n, r in left.items() if r - b.below <= lt}
+            if own:
+                smaller.append(_Bracket(b.column, low, v if k < len(values) else b.high, b.below + below, lt - below, own))
+            found |= {n: v for n, r in left.items() if n not in own and r - b.below <= le}
+            left = {n: r for n, r in left.items() if r - b.below > le}
+            low, below = v, le
+    return found, smaller
+
+
+def _settled(df: DataFrame, brackets: list[_Bracket], data_type) -> dict[str, object]:
+    """Values at the sought ranks of small brackets of one type: a single scan and a window over each bracket."""
+    items = [
+        F.when(b.holds(data_type), F.struct(F.lit(i).alias("b"), F.col(f"`{b.column}`").alias("v"))) for i, b in enumerate(brackets)
+    ]
+    rows = df.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
+    counts = rows.groupBy("b", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    wanted = F.array(*[F.array(*[F.lit(r - b.below).cast("long") for r in b.labels.values()]) for b in brackets])
+    hits = counts.withColumn("upto", upto).withColumn("rank", F.explode(F.get(wanted, F.col("b"))))
+    hits = hits.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    values = {(r["b"], r["rank"]): r["v"] for r in hits.select("b", "rank", "v").distinct().collect()}  # one a target
+    return {n: values[i, r - b.below] for i, b in enumerate(brackets) for n, r in b.labels.items()}
+
+
 def order_statistics(
     df: DataFrame, targets: dict[str, tuple[str, int]], small: int = 50_000, accuracy: int = 2_000
 ) -> dict[str, object]:
     """Exact values at given 1-based ranks: `targets` maps a label to (column, rank among non-null values).
 
-    Each round asks `percentile_approx` for a bracket around every open target, counts what lies below it
-    exactly, and narrows. A bracket holds about 4/accuracy of the previous one, so 10^12 rows need three
-    rounds; once it has at most `small` rows the value comes from a bounded top-k.
+    All targets of all columns go together. Each round takes two scans: quantile sketches give pivots around the open
+    ranks, and exact counts at the pivots settle ranks or leave brackets that hold about 4/accuracy of the rows. Once
+    all brackets have at most `small` rows, one more scan finds what is left. So 10^7 rows need one round, 10^12
+    three, whatever the number of columns and targets; columns may have any type with an order.
     """
     types = {c: df.schema[c].dataType for c, _ in targets.values()}
-    sizes = df.agg(*[F.count(c).alias(c) for c in types]).first().asDict()
-    open_ = {}
-    for label, (c, rank) in targets.items():
+    sizes = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in types]).first().asDict()
+    for c, rank in targets.values():
         if not 1 <= rank <= sizes[c]:
             raise ValueError(f"rank {rank} is outside 1..{sizes[c]} of {c}")
-        open_[label] = {"col": c, "rank": rank, "lo": None, "hi": None, "below": 0, "size": sizes[c]}
+    of_column = {c: {n: r for n, (own, r) in targets.items() if own == c} for c in types}
+    brackets = [_Bracket(c, None, None, 0, sizes[c], labels) for c, labels in of_column.items()]
     found: dict[str, object] = {}
-
-    def inside(t) -> Column:
-        cond = F.col(t["col"]).isNotNull()
-        if t["lo"] is not None:
-            cond = cond & (F.col(t["col"]) >= literal(t["lo"], types[t["col"]]))
-        if t["hi"] is not None:
-            cond = cond & (F.col(t["col"]) <= literal(t["hi"], types[t["col"]]))
-        return cond
-
-    while open_:
-        for label, t in list(open_.items()):
-            if t["lo"] is not None and t["lo"] == t["hi"]:
-                found[label] = t["lo"]
-                del open_[label]
-            elif t["size"] <= small:
-                top = df.where(inside(t)).select(t["col"]).orderBy(t["col"]).limit(t["rank"] - t["below"])
-                found[label] = top.agg(F.max(t["col"])).first()[0]
-                del open_[label]
-        if not open_:
-            break
-        labels = list(open_)
-        asks = []
-        for label in labels:
-            t = open_[label]
-            share = (t["rank"] - t["below"]) / t["size"]
-            shares = [max(0.0, share - 2.0 / accuracy), share, min(1.0, share + 2.0 / accuracy)]
-            asks.append(F.percentile_approx(F.when(inside(t), F.col(t["col"])), shares, accuracy).alias(label))
-        pivots = {k: sorted(set(v)) for k, v in df.agg(*asks).first().asDict().items()}
-        counts = []
-        for label in labels:
-            t = open_[label]
-            c = F.col(t["col"])
-            for i, v in enumerate(pivots[label]):
-                lit = literal(v, types[t["col"]])
-                counts.append(F.count_if(inside(t) & (c < lit)).alias(f"{label}_lt{i}"))
-                counts.append(F.count_if(inside(t) & (c <= lit)).alias(f"{label}_le{i}"))
-                counts.append(F.max(F.when(inside(t) & (c < lit), c)).alias(f"{label}_prev{i}"))
-                counts.append(F.min(F.when(inside(t) & (c > lit), c)).alias(f"{label}_next{i}"))
-        got = df.agg(*counts).first()
-        for label in labels:
-            # Every round settles the pivots themselves, so the bracket shrinks even among heavy ties.
-            t, want = open_[label], open_[label]["rank"] - open_[label]["below"]
-            lo, hi, low_count, high_count = t["lo"], t["hi"], 0, t["size"]
-            for i, v in enumerate(pivots[label]):
-                lt, le = got[f"{label}_lt{i}"], got[f"{label}_le{i}"]
-                if want <= lt:
-                    hi, high_count = got[f"{label}_prev{i}"], lt
-                    break
-                if want <= le:
-                    lo = hi = v
-                    break
-                lo, low_count = got[f"{label}_next{i}"], le
-            t["lo"], t["hi"] = lo, hi
-            t["below"], t["size"] = t["below"] + low_count, high_count - low_count
+    while wide := [b for b in brackets if b.size > small]:
+        settled, smaller = _narrowed(df, wide, types, accuracy)
+        found |= settled
+        brackets = [b for b in brackets if b.size <= small] + smaller
+    for kind in dict.fromkeys(types[b.column] for b in brackets):
+        found |= _settled(df, [b for b in brackets if types[b.column] == kind], kind)
     return found
 
 

@@ -82,6 +82,27 @@ def test_correlation_of_any_number_of_rows(spark):
     assert P.correlation_matrix(big).first()["pearson"] == pytest.approx(1.0)
 
 
+def test_correlations_over_pairs_of_present_values(spark):
+    rng = np.random.default_rng(9)
+    table = rng.normal(size=(500, 12)) + 1e6
+    table[:, 1] = 2 * table[:, 0] + rng.normal(size=500)
+    table[:, 2] = 5.0  # constant
+    table[rng.random((500, 12)) < 0.2] = np.nan
+    names = [f"c{k}" for k in range(12)]
+    df = spark.createDataFrame(table.tolist(), ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = {(r["column_a"], r["column_b"]): r["pearson"] for r in P.correlation_matrix(df).collect()}
+    assert len(got) == 66
+    for (a, b), value in got.items():
+        x, y = table[:, names.index(a)], table[:, names.index(b)]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        if "c2" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-6)
+    assert P.correlation_matrix(df.select("c0")).count() == 0 and P.correlation_matrix(df.limit(0)).where("pearson is not null").count() == 0
+
+
+
 def test_duplicates(spark):
     people = spark.range(100).select((F.col("id") % 10).alias("idade"), (F.col("id") % 10 * 100).alias("salario"))
     assert tuple(P.duplicate_rows(people).first()) == (10, 100, 90)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import quantiles, ranks
+from tabloom.operators import quantiles, ranks, split
 
 
 @pytest.fixture(scope="module")
@@ -93,17 +93,44 @@ def test_cut_row_on_timestamps(spark):
     assert cut == [("ts", want[1]), ("id", want[0])]
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_exact_percentiles(skewed, limit):
+@pytest.mark.parametrize("small", [50, 1_000_000])
+def test_exact_percentiles(skewed, small):
     shares = [0.0, 0.1, 0.25, 0.333, 0.5, 0.95, 1.0]
     values = skewed.toPandas()["v"].to_numpy()
-    got = quantiles.exact_percentiles(skewed, {"v": shares}, limit, small=50, accuracy=100)["v"]
+    got = quantiles.exact_percentiles(skewed, {"v": shares}, small=small, accuracy=100)["v"]
     assert np.allclose(got, np.quantile(values, shares), atol=1e-9)
 
 
 def test_percentiles_skip_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
-    for limit in (0, 100):
-        assert quantiles.exact_percentiles(df, {"v": [0.5]}, limit)["v"] == [2.0]
+    for small in (1, 100):
+        assert quantiles.exact_percentiles(df, {"v": [0.5]}, small=small)["v"] == [2.0]
     empty = df.where("v > 100 and not isnan(v)")
-    assert quantiles.exact_percentiles(empty, {"v": [0.5]}, 0)["v"] == [None]
+    assert quantiles.exact_percentiles(empty, {"v": [0.5]})["v"] == [None]
+
+
+@pytest.mark.parametrize("small,accuracy", [(1, 100), (40, 20), (100_000, 2_000)])
+def test_order_statistics_of_many_columns_and_types(spark, small, accuracy):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        hot = i % 3 == 0  # a third of the rows is one value
+        day = datetime.date(2024, 1, 1) + datetime.timedelta(days=0 if hot else int(rng.integers(300)))
+        number = int(rng.integers(2)) if i % 2 else None
+        rows.append((float(rng.normal()), number, "hot" if hot else f"k{int(rng.integers(900)):03d}", day, f"u{i:05d}"))
+    df = spark.createDataFrame(rows, "a double, `b c` long, s string, d date, u string").repartition(4)
+    ranks_of, targets = {}, {}
+    for k, c in enumerate(df.columns):
+        ranks_of[c] = sorted(r[k] for r in rows if r[k] is not None)
+        n = len(ranks_of[c])
+        targets |= {f"{c}{r}": (c, r) for r in (1, 2, n // 3, n // 2, n // 2 + 1, n - 1, n)}
+    got = ranks.order_statistics(df, targets, small=small, accuracy=accuracy)
+    assert got == {label: ranks_of[c][r - 1] for label, (c, r) in targets.items()}
+
+
+def test_chronological_split_with_text_keys(spark):
+    rows = [(f"key{i:05d}", datetime.datetime(2024, 1, 1 + (i % 4 == 0))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz").repartition(3)
+    got = {r["k"]: r["split"] for r in split.chronological_split(df, "ts", "k", 20, 10, small=50, accuracy=50).collect()}
+    order = [k for k, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert [got[k] for k in order] == ["train"] * 1400 + ["valid"] * 200 + ["test"] * 400
