@@ -8,7 +8,9 @@ from tabloom.functions.fixed import LINE_CLASSES, RUN_STEPS
 from tabloom.operators import logs as L
 from tabloom.plans.derived import LINES_SQL, log_lines
 from tabloom.plans.registry import query
+from tabloom.session import scratch_path
 from tabloom.streaming import runs as SR
+from tabloom.streaming.expiring import heartbeat_expiring, telemetry_expiring
 from tabloom.streaming.sinks import run_append, run_update
 
 
@@ -18,6 +20,18 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parque[t]")
 
 
+def sliced_event_stream(t, slices: int = 5):
+    """All events as a file stream that brings one time slice after the other."""
+    folder = scratch_path(t.spark, "event-slices")
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(slices):
+        low, high = (first + (last - first) * k / slices for k in (i, i + 1))
+        inside = (F.col("ts") >= low) & ((F.col("ts") < high) if i + 1 < slices else F.lit(True))
+        t.events.where(inside).write.parquet(f"{folder}/slice={i}")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{folder}/slice=*")
+
+
 def _contains(text: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -272,6 +286,17 @@ def k11(t):
     return L.heartbeat(log_lines(t.events), _run_table(t), now, 3600)
 
 
+@query("k9_telemetry_expiring_stream", f"with {_TELEMETRY_SQL} select * from state")
+def k9_expiring(t):
+    return run_update(telemetry_expiring(_telemetry(sliced_event_stream(t))), ["run_key", "key"], "telemetry")
+
+
+@query("k11_heartbeat_expiring_stream", f"with {LINES_SQL} select run_key, max(ts) as last_update from log_lines group by 1")
+def k11_expiring(t):
+    beats = run_update(heartbeat_expiring(log_lines(sliced_event_stream(t))), ["run_key"], "heartbeat")
+    return beats.select("run_key", "last_update")
+
+
 @query("k11_heartbeat_stream", f"with {LINES_SQL} select run_key, max(ts) as last_update from log_lines group by 1")
 def k11_stream(t):
     return run_update(SR.heartbeat_stream(log_lines(event_stream(t))), ["run_key"], "heartbeat")
