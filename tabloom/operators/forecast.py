@@ -1,4 +1,8 @@
-"""Forecasts per series. A series holds one row per period, so its length is bounded by the time span."""
+"""Forecasts per series. A series holds at most one row per period, so its length is bounded by the time span.
+
+Periods are `days` apart and count from the last one, not from row to row: a missing period (no row, or a null value)
+shifts no season. Several rows of a series for one period are an error.
+"""
 
 from __future__ import annotations
 
@@ -25,11 +29,16 @@ def naive(history: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return _last(history).select("series", "last_t", steps.alias("step"), F.col("last_y").alias("yhat"))
 
 
-def seasonal_naive(history: DataFrame, horizon: int = HORIZON, season: int = SEASON) -> DataFrame:
-    """The value one season earlier; the last `season` rows per series are a limited window."""
-    recent = history.withColumn("_back", F.row_number().over(W.partitionBy("series").orderBy(F.desc("t"))))
-    recent = recent.where(F.col("_back") <= season)
-    first = F.lit(season) - F.col("_back") + 1
+def seasonal_naive(history: DataFrame, horizon: int = HORIZON, season: int = SEASON, days: int = 1) -> DataFrame:
+    """The latest value of the same place in the season; one row for each place is kept before the shuffle's sort."""
+    present = history.where(F.col("y").isNotNull())
+    last = history.groupBy(F.col("series").alias("_of")).agg(F.max("t").alias("_last"))
+    dated = present.join(last, F.col("series").eqNullSafe(F.col("_of")))
+    back = (F.date_diff("_last", "t") / days).cast("int")
+    placed = dated.withColumns({"_back": back, "_place": F.pmod(back, F.lit(season))})
+    newest = F.row_number().over(W.partitionBy("series", "_place").orderBy("_back"))
+    recent = placed.withColumn("_nth", newest).where(F.col("_nth") == 1)
+    first = F.lit(season) - F.col("_place")
     steps = F.when(first <= horizon, F.sequence(first, F.lit(horizon), F.lit(season)))
     return recent.select("series", F.explode(steps).alias("step"), F.col("y").alias("yhat"))
 
@@ -87,15 +96,32 @@ def _choices(n: int, m: int) -> dict:
     return out
 
 
-def forecast(history: DataFrame, horizon: int = HORIZON, season: int = SEASON) -> DataFrame:
+def _on_grid(pdf: pd.DataFrame, season: int, days: int) -> np.ndarray:
+    """Values of all periods from the first to the last row; a missing one takes the value a season earlier, or the one
+    before it."""
+    day = pd.to_datetime(pdf["t"])
+    place = ((day - day.min()).dt.days // days).to_numpy()
+    if len(np.unique(place)) < len(place):
+        raise ValueError(f"series {pdf['series'].iloc[0]} has several rows for one period")
+    y = np.full(place.max() + 1, np.nan)
+    y[place] = pdf["y"].to_numpy(dtype=float)
+    y = y[np.flatnonzero(~np.isnan(y))[0]:] if not np.isnan(y).all() else np.zeros(0)
+    for i in np.flatnonzero(np.isnan(y)):
+        y[i] = y[i - season] if i >= season else y[i - 1]
+    return y
+
+
+def forecast(history: DataFrame, horizon: int = HORIZON, season: int = SEASON, days: int = 1) -> DataFrame:
     """Best of naive, seasonal naive, exponential smoothing and AR per series.
 
     Each candidate is fitted without the last `horizon` points and judged by MASE on them; the winner is
-    refitted on the whole series.
+    refitted on the whole series. A series without any value gives no rows.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(dtype=float)
+        y = _on_grid(pdf, season, days)
+        if not len(y):
+            return pd.DataFrame({"series": [], "model": [], "step": [], "yhat": [], "mase": []})
         held = min(horizon, max(0, len(y) - 2))
         past, future = y[:len(y) - held], y[len(y) - held:]
         lag = season if len(past) > season else 1

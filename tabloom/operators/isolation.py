@@ -54,6 +54,11 @@ def _grow(limit: int, seed: int):
     return grow
 
 
+def usable(features: Column) -> Column:
+    """Whether a row has a vector without missing components; others are not fitted on and get a null score."""
+    return F.coalesce(F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size(features) > 0), F.lit(False))
+
+
 class IsolationForest:
     """Anomaly scores 2^(-E[depth] / c(psi)); the top share is flagged."""
 
@@ -73,7 +78,7 @@ class IsolationForest:
         A first hash keeps a pool of some 8 * trees * sample rows, a second one per tree draws from it, and
         the `sample` smallest hashes of each tree are used.
         """
-        rows = spread(df.select(features.alias("_x"), key.cast("string").alias("_key")))
+        rows = spread(df.where(usable(features)).select(features.alias("_x"), key.cast("string").alias("_key")))
         n = rows.count()
         wide = 1 << 62
         unit = F.xxhash64(F.col("_key"), F.lit(seed)).bitwiseAND(F.lit(wide - 1))
@@ -91,16 +96,18 @@ class IsolationForest:
         return cls(nodes, n_trees, size, limit)
 
     def score(self, df: DataFrame, features: Column, name: str = "Anomaly_Score") -> DataFrame:
-        """Adds the score; one vectorised walk per batch through all trees."""
+        """Adds the score, null for rows without a usable vector; one vectorised walk per batch through all trees."""
         feature, split, left, right, leaf = self.feature, self.split, self.left, self.right, self.leaf
         n_trees, limit, norm = self.n_trees, self.limit, float(_mean_depth(self.sample))
 
         def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                if not len(batch):
-                    yield pd.Series([], dtype=float)
+                out = pd.Series(np.nan, index=range(len(batch)))  # missing ones become null
+                known = batch.notna().to_numpy()
+                if not known.any():
+                    yield out
                     continue
-                x = np.stack(batch.to_numpy())
+                x = np.stack(batch.to_numpy()[known])
                 index, total = np.arange(len(x)), np.zeros(len(x))
                 for t in range(n_trees):
                     at = np.zeros(len(x), dtype=np.int32)
@@ -111,13 +118,14 @@ class IsolationForest:
                         step = np.where(x[index, np.maximum(f, 0)] <= split[t, at], left[t, at], right[t, at])
                         at = np.where(inner, step, at)
                     total += leaf[t, at]
-                yield pd.Series(np.power(2.0, -total / n_trees / norm))
+                out[known] = np.power(2.0, -total / n_trees / norm)
+                yield out
 
-        return df.withColumn(name, F.pandas_udf(walk, "double")(features))
+        return df.withColumn(name, F.pandas_udf(walk, "double")(F.when(usable(features), features)))
 
     def assign(self, df: DataFrame, features: Column, contamination: float = 0.05) -> DataFrame:
-        """Adds `Anomaly_Score` and `Anomaly`: 1 above the exact (1 - contamination) percentile of the scores."""
-        scored = self.score(spread(df), features)
-        stored = pin(scored.select("Anomaly_Score"))
-        cut = exact_percentiles(stored, {"Anomaly_Score": [1 - contamination]})["Anomaly_Score"][0]
+        """Adds `Anomaly_Score` and `Anomaly`: 1 above the exact (1 - contamination) percentile of the scores, null for rows
+        without a score. The scored table is stored, so that no row is scored twice."""
+        scored = pin(self.score(spread(df), features))
+        cut = exact_percentiles(scored, {"Anomaly_Score": [1 - contamination]})["Anomaly_Score"][0]
         return scored.withColumn("Anomaly", (F.col("Anomaly_Score") > F.lit(cut)).cast("int"))

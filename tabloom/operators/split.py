@@ -147,13 +147,20 @@ def with_class_weight(df: DataFrame, by: str, name: str = "weight") -> DataFrame
     return join_lookup(df, weights, by)
 
 
+#: Copies of a row that are listed at once.
+COPIES = 1000
+
+
 def balance_classes(df: DataFrame, by: str) -> DataFrame:
     """Oversample: each row of a class repeated so that it comes closest to the largest class."""
     counts = df.groupBy(ref(by).alias(by)).agg(F.count("*").alias("_n"))
     largest = counts.agg(F.max("_n")).scalar()
     times = counts.select(by, F.floor((2 * largest + F.col("_n")) / (2 * F.col("_n"))).cast("int").alias("_times"))
-    joined = join_lookup(df, times, by)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    # In two steps, so that no row ever holds a list of all its copies.
+    block = F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(COPIES)))
+    blocks = join_lookup(df, times, by).withColumn("_block", block)
+    last = F.least(F.col("_times"), F.col("_block") + COPIES)
+    return blocks.withColumn("copy", F.explode(F.sequence(F.col("_block") + 1, last))).drop("_times", "_block")
 
 
 def split_summary(df: DataFrame, target: str | None = None) -> DataFrame:

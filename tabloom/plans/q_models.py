@@ -257,8 +257,9 @@ def g12_naive(t):
 
 @query(
     "g12_forecast_seasonal_naive",
-    f"""with {DAILY_SQL}, l as (select *, row_number() over (partition by series order by day desc) as back, max(day) over (partition by series) as d from daily)
-    select series, s::int as step, y as yhat, (d + s::int)::date as t from l join range(1, 13) r(s) on 7 - back + 1 = (s - 1) % 7 + 1 where back <= 7""",
+    f"""with {DAILY_SQL}, l as (select series, max(day) as d from daily group by 1),
+    p as (select series, d, (d - day) % 7 as place, arg_max(y, day) as y from daily join l using (series) group by 1, 2, 3)
+    select series, s::int as step, y as yhat, (d + s::int)::date as t from p join range(1, 13) r(s) on (7 - s % 7) % 7 = place""",
 )
 def g12_seasonal(t):
     h = _history(t)

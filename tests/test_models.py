@@ -144,3 +144,36 @@ def test_payloads(spark):
         (1, 0, None, 1.0, 2.0), (2, 0, None, 3.0, None), (2, 1, None, 4.0, None), (3, 0, bad, None, None),
         (4, 0, bad, None, None), (5, 0, bad, None, None), (6, 0, bad, None, None),
     ]
+
+
+def test_forest_skips_missing_vectors(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(200)]
+    data += [(900, None), (901, [1.0, None]), (902, [float("nan"), 0.0]), (903, [])]
+    df = spark.createDataFrame(data, "id bigint, v array<double>").repartition(3)
+    got = {r["id"]: (r["Anomaly_Score"], r["Anomaly"]) for r in IsolationForest.fit(df, F.col("v"), F.col("id")).assign(df, F.col("v")).collect()}
+    assert len(got) == 204 and {k for k, v in got.items() if v == (None, None)} == {900, 901, 902, 903}
+    assert sum(v[1] or 0 for v in got.values()) == 10
+
+
+def test_gaps_shift_no_season(spark):
+    start = datetime.date(2024, 1, 1)
+    days = [i for i in range(28) if i != 22]  # one day of the last season is missing
+    rows = [("s", start + datetime.timedelta(days=i), float(i % 7)) for i in days] + [("s", start + datetime.timedelta(days=28), None)]
+    df = spark.createDataFrame(rows, "series string, t date, y double").where("y is not null")
+    want = [float((28 + k) % 7) for k in range(7)]
+    naive = {r["step"]: r["yhat"] for r in forecast.seasonal_naive(df, 7, 7).collect()}
+    assert [naive[s] for s in range(1, 8)] == want
+    chosen = {r["step"]: r["yhat"] for r in forecast.forecast(df, 7, 7).collect()}
+    assert [chosen[s] for s in range(1, 8)] == pytest.approx(want, abs=1e-6)
+    with pytest.raises(Exception, match="several rows for one period"):
+        forecast.forecast(df.union(df.limit(1)), 7, 7).collect()
+
+
+def test_oversampling_in_blocks(spark, monkeypatch):
+    from tabloom.operators import split
+
+    monkeypatch.setattr(split, "COPIES", 3)
+    df = spark.createDataFrame([(i, "a") for i in range(20)] + [(99, "b")], "id long, c string")
+    copies = split.balance_classes(df, "c").groupBy("id").agg(F.collect_set("copy").alias("s")).collect()
+    assert all(sorted(r["s"]) == (list(range(1, 21)) if r["id"] == 99 else [1]) for r in copies)
