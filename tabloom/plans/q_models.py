@@ -20,8 +20,6 @@ from tabloom.plans.q_split import LINE_KEY
 from tabloom.plans.registry import query
 from tabloom.session import scratch_path
 
-SMALL = {"trees": 10, "boosts": 5, "depth": 4, "max_iter": 20}
-
 
 def labelled_documents(t):
     """Labelled documents with lengths and word counts instead of text."""
@@ -43,31 +41,31 @@ def prepared_lines(t):
 
 @query("g1_fit_classifiers")
 def g1(t):
-    return rounded(workflow.holdout_scores(labelled_documents(t), "quality", "doc_id", "classification", **SMALL), 4)
+    return rounded(workflow.holdout_scores(labelled_documents(t), "quality", "doc_id", "classification"), 4)
 
 
 @query("g2_fit_regressors")
 def g2(t):
-    return rounded(workflow.holdout_scores(priced_lines(t), "l_extendedprice", "id", "regression", **SMALL), 4)
+    return rounded(workflow.holdout_scores(priced_lines(t), "l_extendedprice", "id", "regression"), 4)
 
 
 @query("g3_cross_validate")
 def g3(t):
     task, _, labels, encoded = models.prepare(labelled_documents(t), "quality", "classification", "doc_id")
-    oof = models.cross_validate(encoded, "doc_id", models.candidates_for(task, labels, ["lr", "nb", "rf"], **SMALL), task)
+    oof = models.cross_validate(encoded, "doc_id", models.candidates_for(task, labels), task)
     return rounded(models.group_scores(oof, ["model", "fold"], task), 4)
 
 
 @query("g4_compare_models")
 def g4(t):
-    return rounded(workflow.rank_candidates(priced_lines(t), "l_extendedprice", "id", "regression", **SMALL), 4)
+    return rounded(workflow.rank_candidates(priced_lines(t), "l_extendedprice", "id", "regression"), 4)
 
 
 @query("g5_random_search")
 def g5(t):
     _, _, _, encoded = prepared_lines(t)
-    maker = models.regressors(["lr"], **SMALL)["lr"]
-    board, _, _ = models.random_search(encoded.cache(), "id", "lr", maker, "regression", time_limit=60)
+    maker = models.regressors(["lr"])["lr"]
+    board, _, _ = models.random_search(encoded.cache(), "id", "lr", maker, "regression")
     return rounded(board, 4)
 
 
@@ -95,13 +93,13 @@ def g7(t):
 
 @query("g7_tune_and_blend")
 def g7_tuned(t):
-    return rounded(workflow.tune_and_blend(labelled_documents(t), "quality", "doc_id", "classification", n_iter=3, **SMALL), 4)
+    return rounded(workflow.tune_and_blend(labelled_documents(t), "quality", "doc_id", "classification"), 4)
 
 
 @query("g8_weighted_ensemble")
 def g8(t):
     task, _, labels, encoded = models.prepare(labelled_documents(t), "quality", "classification", "doc_id")
-    oof = models.cross_validate(encoded, "doc_id", models.candidates_for(task, labels, ["lr", "nb", "rf"], **SMALL), task)
+    oof = models.cross_validate(encoded, "doc_id", models.candidates_for(task, labels), task)
     return rounded(models.weighted_ensemble(oof.cache(), "doc_id", task), 4)
 
 
@@ -216,7 +214,7 @@ def two_labels(t):
 
 @query("g9_fit_multilabel")
 def g9(t):
-    _, scores = models.fit_multilabel(two_labels(t), ["quality", "toxic"], "doc_id", "rf", **SMALL)
+    _, scores = models.fit_multilabel(two_labels(t), ["quality", "toxic"], "doc_id", "rf")
     return rounded(scores, 4)
 
 
@@ -278,7 +276,7 @@ def g13(t):
     table = t.events.select(
         "event_id", "user_id", "value", F.hour("ts").alias("hour"), F.get_json_object("props", "$.k").cast("double").alias("k"), rel.alias("rel")
     )
-    _, ranked = models.rank_model(table, "event_id", "user_id", "rel", **SMALL)
+    _, ranked = models.rank_model(table, "event_id", "user_id", "rel")
     return rounded(ranked)
 
 
@@ -286,7 +284,7 @@ def g13(t):
 def g16(t):
     table = t.documents.join(t.labels, "doc_id").drop("toxic")
     named = table.withColumn("quality", F.when(F.col("quality") == 1, "good").otherwise("poor"))
-    model = models.fit_multimodal_table(named, "quality", "doc_id", "lr", max_features=100, **SMALL)
+    model = models.fit_multimodal_table(named, "quality", "doc_id", "lr")
     return model.predict(named).select("doc_id", "Predictions")
 
 
@@ -297,7 +295,7 @@ def status_table(t):
 @query("i1_predict_batch")
 def i1(t):
     table = status_table(t)
-    model = models.train(table, "o_orderstatus", "o_orderkey", "rf", "classification", **SMALL)
+    model = models.train(table, "o_orderstatus", "o_orderkey", "rf", "classification")
     return scoring.predict_batch(model, table).select("o_orderkey", "Predictions")
 
 
@@ -339,7 +337,7 @@ def i2(t):
 
 @query("i3_predict_multi")
 def i3(t):
-    fitted, _ = models.fit_multilabel(two_labels(t), ["quality", "toxic"], "doc_id", "lr", **SMALL)
+    fitted, _ = models.fit_multilabel(two_labels(t), ["quality", "toxic"], "doc_id", "lr")
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")
     return models.predict_multi(fitted, docs).select("doc_id", "Prediction_quality", "Prediction_toxic")
 
@@ -383,7 +381,7 @@ def i5_stream(t):
 
 def _payload_model(t):
     table = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    return models.train(table, "o_orderstatus", "o_orderkey", "rf", "classification", **SMALL)
+    return models.train(table, "o_orderstatus", "o_orderkey", "rf", "classification")
 
 
 @query("i5_score_payloads")
@@ -402,7 +400,7 @@ def i5_score_stream(t):
 def _explained(t):
     table = priced_lines(t).drop("l_linestatus")
     features = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    model = models.train(table, "l_extendedprice", "id", "lr", "regression", **SMALL)
+    model = models.train(table, "l_extendedprice", "id", "lr", "regression")
     return explain.explain_rows(model, table, table, "id", features)
 
 
