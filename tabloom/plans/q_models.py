@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import row_key
-from tabloom.operators import explain, forecast, models, scoring
+from tabloom.operators import explain, forecast, models, scoring, search
 from tabloom.operators.clean import text_features
 from tabloom.operators.encode import FeatureAssembly, vector_from_array
 from tabloom.operators.ensembles import fit_ensemble
@@ -69,6 +69,14 @@ def g5(t):
     return rounded(board, 4)
 
 
+@query("g5_adaptive_search")
+def g5_adaptive(t):
+    _, _, _, encoded = prepared_lines(t)
+    maker = models.regressors(["lr"])["lr"]
+    board, _, _ = search.adaptive_search(encoded.cache(), "id", "lr", maker, "regression", "rmse", width=9)
+    return rounded(board, 4)
+
+
 @query("g6_topology_search")
 def g6(t):
     _, _, _, encoded = prepared_lines(t)
