@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Archive of the package by application.
+_SHIPPED: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
@@ -49,6 +55,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_code(spark: SparkSession) -> str:
+    """Send this package to the executors, for a session that was not started with it installed on them.
+
+    The archive holds the package's own source files only and lies in the shared folder. Once a session is enough;
+    a second call sends nothing.
+    """
+    sent = _SHIPPED.get(spark.sparkContext.applicationId)
+    if sent is not None:
+        return sent
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent).as_posix())
+        target = scratch_path(spark, package.name) + ".zip"
+        content = archive.read_bytes()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(content)
+    stream.close()
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED[spark.sparkContext.applicationId] = target
+    return target
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor re-reads the same rows."""
     shared_dir(df.sparkSession)
