@@ -13,6 +13,7 @@ from tabloom.operators.encode import FeatureAssembly, vector_from_array
 from tabloom.operators.ensembles import fit_ensemble
 from tabloom.operators.isolation import IsolationForest
 from tabloom.operators.pipelines import AssemblyStage
+from tabloom.operators.tree_explain import explain_trees
 from tabloom.plans import workflow
 from tabloom.plans.derived import CLASS_SCORES, DAILY_SQL, PREDICTIONS_SQL, daily, predictions
 from tabloom.plans.q_metrics import rounded
@@ -422,6 +423,22 @@ def i6_global(t):
     return rounded(explain.explain_global(_explained(t)), 2)
 
 
+@query(
+    "i6_explain_trees",
+    """with x as (select l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber as id,
+        case when l_linenumber <= 3 then 10.0 else 20.0 end - avg(case when l_linenumber <= 3 then 10.0 else 20.0 end) over () as d from lineitem)
+    select id, feature, round(case feature when 'l_linenumber' then d else 0.0 end, 6)::double as attribution
+    from x, (values ('l_linenumber'), ('l_discount'), ('l_tax')) f(feature)""",
+)
+def i6_trees(t):
+    """A step of one column, which boosting finds exactly: the other columns get nothing."""
+    step = F.when(F.col("l_linenumber") <= 3, 10.0).otherwise(20.0)
+    table = t.lineitem.select(row_key(*LINE_KEY).alias("id"), "l_linenumber", "l_discount", "l_tax", step.alias("y"))
+    model = models.train(table, "y", "id", "gbt", "regression")
+    found = explain_trees(model, table, "id").withColumn("attribution", F.round("attribution", 6) + 0.0)
+    return found.drop("expected")
+
+
 @query(
     "i7_top_class",
     f"""with {PREDICTIONS_SQL} select o_orderkey, case greatest(p_f, p_o, p_p) when p_f then 'F' when p_o then 'O' else 'P' end as top_label,
