@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +42,17 @@ class TfIdf:
         if not 1 <= ngram_range[0] <= ngram_range[1] <= 3:
             raise ValueError("n-grams of 1 to 3 tokens")
         model = cls([], [], ngram_range, stop_words)
-        df = spread(df.select(column))
-        terms = df.select(F.explode(model._terms(column)).alias("term"))
-        top = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
-        model.vocabulary = [r["term"] for r in top.collect()]  # at most max_features rows
+        # Terms of a row in order, each with whether it is the first of its kind there: one count by term then tells
+        # both how often it stands in the corpus and in how many rows.
+        sorted_terms = spread(df.select(column)).select(F.array_sort(model._terms(column)).alias("s"))
+        marked = F.transform("s", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("s", i - 1))).alias("first")))
+        terms = sorted_terms.select(F.inline(marked))
+        counts = terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if("first").alias("rows"))
+        top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # at most max_features rows
+        model.vocabulary = [r["term"] for r in top]
         if model.vocabulary:
-            fitted = IDF(inputCol="_tf", outputCol="_idf").fit(model._counts(df, column, "_tf").select("_tf"))
-            n = fitted.numDocs
-            model.idf = [math.log((1 + n) / (1 + d)) + 1 for d in fitted.docFreq]
+            n = df.count()
+            model.idf = [math.log((1 + n) / (1 + r["rows"])) + 1 for r in top]
         return model
 
     def _terms(self, column: str):
