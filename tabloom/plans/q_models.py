@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import row_key
-from tabloom.operators import explain, forecast, models, scoring, search
+from tabloom.operators import explain, forecast, listwise, models, scoring, search
 from tabloom.operators.clean import text_features
 from tabloom.operators.encode import FeatureAssembly, vector_from_array
 from tabloom.operators.ensembles import fit_ensemble
@@ -278,17 +278,28 @@ def g12(t):
     return rounded(forecast.forecast(_history(t), 12, 7), 4)
 
 
-@query("g13_rank_model")
-def g13(t):
+def relevant_events(t):
+    """Events with a relevance by their type, to be ranked for each user."""
     kind = F.col("event_type")
     rel = F.when(kind == "purchase", 3.0).when(kind == "click", 2.0).when(kind == "view", 1.0).otherwise(0.0)
-    table = t.events.select(
+    return t.events.select(
         "event_id", "user_id", "value", F.hour("ts").alias("hour"), F.get_json_object("props", "$.k").cast("double").alias("k"), rel.alias("rel")
     )
-    _, ranked = models.rank_model(table, "event_id", "user_id", "rel")
+
+
+@query("g13_rank_model")
+def g13(t):
+    _, ranked = models.rank_model(relevant_events(t), "event_id", "user_id", "rel")
     return rounded(ranked)
 
 
+@query("g13_rank_listwise")
+def g13_listwise(t):
+    table = relevant_events(t)
+    model = listwise.fit_listwise(table, "event_id", "user_id", "rel", rounds=5)
+    return rounded(model.score(table).select("event_id", "user_id", "rel", "score"))
+
+
 @query("g16_fit_multimodal_table")
 def g16(t):
     table = t.documents.join(t.labels, "doc_id").drop("toxic")
