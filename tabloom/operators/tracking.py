@@ -11,6 +11,10 @@ from tabloom.functions.fixed import HIGHER_IS_BETTER, METRIC_PRIORITY
 from tabloom.operators.ranks import dense_index, join_lookup
 
 
+#: Columns that a run table may have.
+MAX_NAMES = 5_000
+
+
 def search_runs(entries: DataFrame, experiment: str, names: list[str] | None = None) -> DataFrame:
     """One row per run of an experiment with columns `params.*` and `metrics.*`, the latest value of each.
 
@@ -21,7 +25,10 @@ def search_runs(entries: DataFrame, experiment: str, names: list[str] | None = N
         "_name", F.concat(F.col("kind"), F.lit("s."), F.col("key"))
     )
     if names is None:
-        names = sorted(r["_name"] for r in own.select("_name").distinct().collect())
+        found = own.select("_name").distinct().limit(MAX_NAMES + 1).collect()
+        if len(found) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} parameters and metrics; say which ones are wanted")
+        names = sorted(r["_name"] for r in found)
     values = []
     for n in names:
         mine = F.col("_name") == n
@@ -143,10 +150,10 @@ def register_versions(new: DataFrame, existing: DataFrame, name: str, order: lis
 def lineage(runs: DataFrame, manifest: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Short fingerprints of the train, validation and test tables of each run, one row per role.
 
-    The roles are unfolded first, so the manifest is joined once.
+    The roles are unfolded first, so the manifest is joined once; a table that most runs used is spread over tasks.
     """
     used = runs.select(
         "run_id", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), ref(c).alias("name")) for r, c in roles.items()]))
     ).where(F.col("name").isNotNull())
     prints = manifest.select("name", F.substring("fingerprint", 1, 8).alias("short8"))
-    return used.join(prints, "name", "left").select("run_id", "role", "name", F.coalesce("short8", F.lit("unknown")).alias("short8"))
+    return join_lookup(used, prints, "name", "left").select("run_id", "role", "name", F.coalesce("short8", F.lit("unknown")).alias("short8"))

@@ -270,3 +270,15 @@ def test_whole_report_has_every_column(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     got = {r["column"]: r["n_unique"] for r in catalog.QUERIES["b_profile_report_whole"](spark, folder).collect()}
     assert got == {c: lines.select(c).distinct().count() for c in lines.columns}
+
+
+def test_run_tables_have_bounded_width(spark, monkeypatch):
+    from tabloom.operators import tracking
+
+    rows = [("r", "e", "metric", f"m{i}", "1", None) for i in range(6)]
+    entries = spark.createDataFrame(rows, "run_id string, experiment string, kind string, key string, value string, ts timestamp")
+    assert len(tracking.search_runs(entries, "e").columns) == 7
+    monkeypatch.setattr(tracking, "MAX_NAMES", 5)
+    with pytest.raises(ValueError):
+        tracking.search_runs(entries, "e")
+    assert len(tracking.search_runs(entries, "e", ["metrics.m1"]).columns) == 2
