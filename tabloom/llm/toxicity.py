@@ -38,13 +38,14 @@ ROUNDS, CLEAN_WORDS, HARD_WORDS, WITNESSES = 5, 6000, 2000, 1500
 #: Weight of all witnesses together against all clean words, and of a witness with a letter put in against itself. A
 #: clean document has hundreds of words and none of them may look toxic, so clean words weigh most.
 TOXIC_SHARE, STRETCHED = 0.1, 0.3
-#: Words and dense rows that are worked on at once.
-WORDS, ROWS = 10_000, 150
+#: Words, dense rows and rows of the machine that are worked on at once.
+WORDS, ROWS, BLOCK = 4_000, 150, 2048
 DECAY = 0.7
 SPAN = 6
 EDGE, FOREIGN = 31, 30
-#: Words with a log-likelihood ratio above this are witnesses at once.
-EVIDENCE = 9.0
+#: Words with a log-likelihood ratio above this that stand in toxic documents this many times as often as in clean ones
+#: are witnesses at once. Without the second figure a common word that is a little more frequent there would be one.
+EVIDENCE, LIFT = 9.0, 5
 _BITS = 5
 #: Letters with marks: those on e, on other vowels, and the rest are one letter each.
 _MARKED = {27: "èéêë", 28: "àáâãäåìíîïòóôõöøùúûüýÿæ", 29: "çñßðþ"}
@@ -154,16 +155,24 @@ class ToxicityModel:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    full = np.column_stack((x, np.ones(len(x))))
-    penalty = np.diag(np.append(np.full(x.shape[1], ridge), 1e-9))
-    w, before = np.zeros(full.shape[1]), None
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin.
+
+    Rows are taken in blocks, so a step needs little memory besides them.
+    """
+    size = x.shape[1] + 1
+    penalty = np.diag(np.append(np.full(size - 1, ridge), 1e-9))
+    w, before = np.zeros(size), None
     for _ in range(30):
-        inside = y * (full @ w) < 1
+        inside = y * (x @ w[:-1] + w[-1]) < 1
         if before is not None and (inside == before).all():
             break
-        part = full[inside]
-        target = np.linalg.solve((part.T * share[inside]) @ part + penalty, part.T @ (share * y)[inside])
+        left, right = penalty.copy(), np.zeros(size)
+        for lo in range(0, len(x), BLOCK):
+            rows = lo + np.flatnonzero(inside[lo : lo + BLOCK])
+            part = np.column_stack((x[rows], np.ones(len(rows))))
+            left += (part.T * share[rows]) @ part
+            right += part.T @ (share[rows] * y[rows])
+        target = np.linalg.solve(left, right)
         w, before = (w + target) / 2 if before is not None else target, inside
     return w[:-1], float(w[-1])
 
@@ -190,12 +199,12 @@ def _flat(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _witnesses(bad: list[set[str]], in_bad: Counter, in_good: Counter, share: float) -> dict[str, int]:
-    """Words that stand significantly more often in toxic documents than their share tells, with their counts there;
+    """Words that stand significantly and several times more often in toxic documents, with their counts there;
     where there are none, the most telling word of each toxic document."""
 
     def evidence(w: str) -> float:
         k, n = in_bad[w], in_bad[w] + in_good.get(w, 0)
-        if k <= share * n:
+        if k * (1 - share) <= LIFT * (n - k) * share:
             return 0.0
         rest = (n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0.0
         return k * np.log(k / (n * share)) + rest
@@ -205,10 +214,11 @@ def _witnesses(bad: list[set[str]], in_bad: Counter, in_good: Counter, share: fl
 
 
 def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> ToxicityModel:
-    bags = []
+    bags, same = [], {}
     for x in texts:
         buf, s, e, _ = word_spans([x])
-        bags.append({buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist())})
+        found = {buf[a:b].tobytes().decode("latin-1") for a, b in zip(s.tolist(), e.tolist())}
+        bags.append({same.setdefault(w, w) for w in found})  # each word is held once
     bad, good = ([b for b, t in zip(bags, toxic) if b and t == value] for value in (1, 0))
     in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
     witness = _witnesses(bad, in_bad, in_good, len(bad) / max(len(bad) + len(good), 1))
@@ -230,7 +240,7 @@ def _fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Tox
         share = np.concatenate((often, STRETCHED * often, np.ones(len(against))))
         for side, part in ((1, TOXIC_SHARE), (-1, 1 - TOXIC_SHARE)):
             share[y == side] *= part / max(share[y == side].sum(), 1e-9)
-        x = np.vstack([_dense(items[i : i + ROWS]) @ base.T for i in range(0, len(items), ROWS)]) @ white
+        x = np.vstack([(_dense(items[i : i + ROWS]) @ base.T) @ white for i in range(0, len(items), ROWS)])
         w, b = _machine(x, y, share)
         model = ToxicityModel((base.T @ (white @ w)).astype(np.float64), b)
         margin = model.word_margins(*flat_clean)
