@@ -30,6 +30,7 @@ from tabloom.functions.columns import ref, string_columns
 from tabloom.operators.budget import Budget, OutOfTime, run_within
 from tabloom.operators.clean import drop_null_target, drop_targets, per_label_subset
 from tabloom.operators.encode import CategoryIndex, FeatureAssembly
+from tabloom.operators.grown import ExtraTrees, SoftmaxBoosting
 from tabloom.operators.metrics import CLIP, grouped_auc
 from tabloom.operators.pipelines import AssemblyStage, OutcomeStage, apply_to, probabilities
 from tabloom.operators.ranks import group_rank
@@ -50,8 +51,15 @@ LOSSES = {"mse", "rmse", "mae", "mase", "mape", "log_loss"}
 MORE_METRICS = {"classification": ["balanced_accuracy", "log_loss", "roc_auc"], "regression": ["mape"]}
 
 
+#: Families made only when named.
+ON_REQUEST = ("et", "softmax")
+
+
 def classifiers(n_classes: int, include=None, exclude=None, **params) -> dict[str, Candidate]:
-    """Estimator makers by family: linear, naive Bayes, random forest, boosted trees (one-vs-rest beyond two classes)."""
+    """Estimator makers by family: linear, naive Bayes, random forest, boosted trees (one-vs-rest beyond two classes).
+
+    Extremely randomised trees ("et") and softmax boosting ("softmax") are made when `include` names them.
+    """
     iters, trees, depth = params.get("max_iter", 50), params.get("trees", 20), params.get("depth", 5)
 
     def boosted(seed):
@@ -63,17 +71,21 @@ def classifiers(n_classes: int, include=None, exclude=None, **params) -> dict[st
         "nb": lambda seed: NaiveBayes(modelType="gaussian"),
         "rf": lambda seed: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
         "gbt": boosted,
+        "et": lambda seed: ExtraTrees(numTrees=trees, maxDepth=depth, seed=seed),
+        "softmax": lambda seed: SoftmaxBoosting(maxIter=params.get("boosts", 10), maxDepth=depth, seed=seed),
     }
     return _pick(makers, include, exclude)
 
 
 def regressors(include=None, exclude=None, **params) -> dict[str, Candidate]:
-    """Estimator makers by family: linear, random forest, boosted trees."""
+    """Estimator makers by family: linear, random forest, boosted trees; extremely randomised trees ("et") when
+    `include` names them."""
     iters, trees, depth = params.get("max_iter", 50), params.get("trees", 20), params.get("depth", 5)
     makers = {
         "lr": lambda seed: LinearRegression(maxIter=iters),
         "rf": lambda seed: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed),
         "gbt": lambda seed: GBTRegressor(maxIter=params.get("boosts", 10), maxDepth=depth, seed=seed),
+        "et": lambda seed: ExtraTrees(task="regression", numTrees=trees, maxDepth=depth, seed=seed),
     }
     return _pick(makers, include, exclude)
 
@@ -87,7 +99,8 @@ def _pick(makers, include, exclude):
     for name in [*(include or []), *(exclude or [])]:
         if name not in makers:
             raise ValueError(f"unknown model family {name}")
-    return {n: m for n, m in makers.items() if (include is None or n in include) and n not in (exclude or [])}
+    wanted = [n for n in makers if n not in ON_REQUEST] if include is None else include
+    return {n: m for n, m in makers.items() if n in wanted and n not in (exclude or [])}
 
 
 def class_probabilities(scored: DataFrame) -> Column:
@@ -300,6 +313,8 @@ SPACE = {
     "nb": {},  # the Gaussian form has none
     "rf": {"numTrees": [10, 20, 40], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5, 20]},
     "gbt": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.3]},
+    "et": {"numTrees": [10, 20, 40], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5, 20]},
+    "softmax": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": [0.1, 0.3, 0.5]},
 }
 
 

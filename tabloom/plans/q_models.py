@@ -45,6 +45,29 @@ def g1(t):
     return rounded(workflow.holdout_scores(labelled_documents(t), "quality", "doc_id", "classification"), 4)
 
 
+def three_speeds(t):
+    """Orders with one of three classes that follow from their priority."""
+    p = F.col("o_orderpriority")
+    kind = F.when(p < "2", "rush").when(p < "4", "usual").otherwise("calm")
+    return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus", kind.alias("kind"))
+
+
+_SPEEDS_SQL = """select o_orderkey, case when o_orderpriority < '2' then 'rush' when o_orderpriority < '4' then 'usual' else 'calm' end
+    as "Predictions" from orders"""
+
+
+@query("g1_softmax_boosting", _SPEEDS_SQL)
+def g1_softmax(t):
+    table = three_speeds(t)
+    return models.train(table, "kind", "o_orderkey", "softmax").predict(table).select("o_orderkey", "Predictions")
+
+
+@query("g1_extra_trees", _SPEEDS_SQL)
+def g1_extra(t):
+    table = three_speeds(t)
+    return models.train(table, "kind", "o_orderkey", "et").predict(table).select("o_orderkey", "Predictions")
+
+
 @query("g2_fit_regressors")
 def g2(t):
     return rounded(workflow.holdout_scores(priced_lines(t), "l_extendedprice", "id", "regression"), 4)
