@@ -40,6 +40,7 @@ def join_lookup(
     Up to `max_rows` lookup rows (checked) the lookup is broadcast. Beyond that it is repeated once per
     salt and joined on key and salt, where the salt of a row is its input partition: a key that holds a
     third of all rows is spread over `salts` tasks, also when an aggregation by the same key follows.
+    The copies are never broadcast: Spark estimates them at the size of one.
     """
     side, small = small_side(lookup, max_rows)
     if small:
@@ -49,10 +50,10 @@ def join_lookup(
     if isinstance(on, str):
         on = [on]
     if isinstance(on, list) and all(isinstance(c, str) for c in on):
-        joined = salted.join(copies.withColumnRenamed("_salt_copy", "_salt"), [*on, "_salt"], how)
+        joined = salted.join(copies.withColumnRenamed("_salt_copy", "_salt").hint("merge"), [*on, "_salt"], how)
     else:
         conditions = on if isinstance(on, list) else [on]
-        joined = salted.join(copies, [*conditions, F.col("_salt") == F.col("_salt_copy")], how)
+        joined = salted.join(copies.hint("merge"), [*conditions, F.col("_salt") == F.col("_salt_copy")], how)
     return joined.drop("_salt", "_salt_copy")
 
 

@@ -134,3 +134,14 @@ def test_chronological_split_with_text_keys(spark):
     got = {r["k"]: r["split"] for r in split.chronological_split(df, "ts", "k", 20, 10, small=50, accuracy=50).collect()}
     order = [k for k, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
     assert [got[k] for k in order] == ["train"] * 1400 + ["valid"] * 200 + ["test"] * 400
+
+
+@pytest.mark.parametrize("on", ["g", "column"])
+def test_copies_of_a_large_lookup_are_not_broadcast(spark, skewed, on):
+    lookup = skewed.groupBy("g").agg(F.count("*").alias("n"))
+    if on == "column":
+        lookup = lookup.withColumnRenamed("g", "h")
+    joined = ranks.join_lookup(skewed, lookup, on if on == "g" else F.col("g") == F.col("h"), "left", max_rows=1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 4000 and joined.where("n is null").count() == 0
