@@ -20,15 +20,27 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parque[t]")
 
 
-def sliced_event_stream(t, slices: int = 5):
-    """All events as a file stream that brings one time slice after the other."""
+#: Rows of a file of a slice.
+FILE_ROWS = 500_000
+
+
+def sliced_event_stream(t, slices: int = 5, file_rows: int = FILE_ROWS):
+    """All events as a file stream that brings one time slice after the other.
+
+    A batch is a whole slice, as rows of a slice that came in a later batch than others would be late: every slice has
+    the same number of files, empty ones included.
+    """
     folder = scratch_path(t.spark, "event-slices")
     first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
-    for i in range(slices):
-        low, high = (first + (last - first) * k / slices for k in (i, i + 1))
-        inside = (F.col("ts") >= low) & ((F.col("ts") < high) if i + 1 < slices else F.lit(True))
-        t.events.where(inside).write.parquet(f"{folder}/slice={i}")
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1)
+    bounds = [(first + (last - first) * i / slices, first + (last - first) * (i + 1) / slices) for i in range(slices)]
+    inside = [(F.col("ts") >= low) & ((F.col("ts") < high) if i + 1 < slices else F.lit(True)) for i, (low, high) in enumerate(bounds)]
+    files = 1 + max(t.events.agg(*[F.count_if(c) for c in inside]).first()) // file_rows
+    for i, c in enumerate(inside):
+        path = f"{folder}/slice={i}"
+        t.events.where(c).repartition(files).write.parquet(path)
+        for _ in range(files - len(t.spark.read.parquet(path).inputFiles())):
+            t.events.limit(0).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files)
     return stream.parquet(f"{folder}/slice=*")
 
 

@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import logs as L
+from tabloom.plans import q_logs
+from tabloom.plans.registry import Tables
 from tabloom.session import scratch_path
 from tabloom.streaming import expiring
+from tabloom.streaming.sinks import run_update
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -64,3 +67,15 @@ def test_rows_without_time_or_no_rows(spark, name):
     schema = "run_key bigint, seq bigint, ts timestamp_ntz, fields map<string,string>"
     found, _, _ = run_files(spark, [[(1, 1, None, {"a": "1"}), (2, 1, hours(1), {"a": None, "b": "2"}), (3, 1, hours(1), None)]], schema, getattr(expiring, name), [])
     assert {r["run_key"] for r in found.collect()} == ({2} if name.startswith("tele") else {2, 3})
+
+
+def test_a_slice_of_several_files_is_one_batch(spark, tmp_path):
+    # Four input files: rows of a slice's later files came late, and were lost, when each file was a batch.
+    rows = [(i, (i * 7) % 40, hours(float(i % 720)), ("click", "view", "error", "signup")[i % 4], float(i % 60), f'{{"k": {i % 9}}}') for i in range(2000)]
+    table = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string")
+    table.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    stream = q_logs.sliced_event_stream(t, file_rows=100)
+    found = run_update(expiring.heartbeat_expiring(stream.select(F.col("user_id").alias("run_key"), "ts")), ["run_key"], "beats")
+    want = t.events.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    assert sorted(map(tuple, found.select("run_key", "last_update").collect())) == sorted(map(tuple, want.collect()))
