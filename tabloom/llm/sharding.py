@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.llm.common import dense_ranks, pin
 
@@ -38,15 +39,26 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return last
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """Shard 0 to shards - 1 of a long key; nearby keys are spread by a hash first."""
+def hashed(key: Column) -> Column:
+    """Nearby keys are spread by a hash first."""
+    return F.xxhash64(F.coalesce(key.cast("long"), F.lit(NULL_KEY)))
 
-    @F.pandas_udf("int")
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashed in batches:
-            yield pd.Series(jump(hashed.to_numpy(dtype=np.int64), shards), dtype="int32")
 
-    return place(F.xxhash64(F.coalesce(key.cast("long"), F.lit(NULL_KEY))))
+def with_shards(rows: DataFrame, key: str, shards: dict[str, int]) -> DataFrame:
+    """The rows with a shard column for each number of shards, in place of the hashed key.
+
+    Only the columns given reach Python; next to a UDF column Spark would hold back whole input rows, texts included.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
+            added = [pa.array(jump(keys, n).astype(np.int32)) for n in shards.values()]
+            rest = batch.drop_columns([key])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *added], [*rest.schema.names, *shards])
+
+    fields = [f for f in rows.schema if f.name != key] + [T.StructField(n, T.IntegerType()) for n in shards]
+    return rows.mapInArrow(place, T.StructType(fields))
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,15 +70,10 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        hashed(F.col(key)).alias("__hashed"),
     )
-    placed = pin(
-        measured.select(
-            "*",
-            F.lit("key").alias("law"),
-            shard_of(F.col("doc_id"), shards).alias("shard"),
-            shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        )
-    )
+    placed = pin(with_shards(measured, "__hashed", {"shard": shards, "grown_shard": shards + 1}))
     return dense_ranks(placed, "shard", ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )

@@ -327,3 +327,18 @@ def test_mask(spark):
     found = personal.find_personal_data(table).select("doc_id", "spans")
     masked = table.join(found, "doc_id").select(personal.mask(F.col("text"), F.col("spans")).alias("m")).first().m
     assert masked == "é mail [EMAIL], [PHONE] end"
+
+
+def test_shards_keep_texts_out_of_python(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(sharding, "pin", lambda df: stored.append(df) or df)
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (None, "x")], "doc_id bigint, text string")
+    assert sharding.assign_shards(docs).count() == 3
+
+    def below_python(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = [c.output().mkString(",") for c in children] if "Python" in plan.nodeName() or "InArrow" in plan.nodeName() else []
+        return own + [x for c in children for x in below_python(c)]
+
+    inputs = below_python(stored[0]._jdf.queryExecution().optimizedPlan())
+    assert inputs and not any("text#" in columns for columns in inputs)
