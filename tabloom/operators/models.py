@@ -238,18 +238,30 @@ def fit_all(
     return run_within(encoded.sparkSession, jobs, time_limit, parallelism)
 
 
+#: Rows of a fold table that are worth a task of their own, and rows that one task may hold.
+ROWS_A_TASK, MOST_ROWS_A_TASK = 5_000, 500_000
+
+
+def fold_partitions(encoded: DataFrame) -> int:
+    """Partitions for fits on a table: the session's shuffle partitions, fewer for a small table (a boosted fit is
+    hundreds of jobs, each with a task a partition), though two a core, and more for a large one."""
+    usual = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, cores = encoded.count(), encoded.sparkSession.sparkContext.defaultParallelism
+    return max(min(usual, 2 * cores), min(usual, rows // ROWS_A_TASK), rows // MOST_ROWS_A_TASK)
+
+
 def cross_validate(
     encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8,
     partitions: int | None = None, time_limit: float | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate.
 
-    Rows are dealt over `partitions` (default: the session's shuffle partitions) by a hash of the key; tree fits
+    Rows are dealt over `partitions` (default: `fold_partitions`) by a hash of the key; tree fits
     depend on that number, as their bagging is drawn per partition. With a limit in seconds, candidates whose folds
     are not all fitted by then are left out; without any whole candidate `OutOfTime` is raised.
     """
     folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
-    partitions = partitions or int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or fold_partitions(encoded)
     folds = folds.repartition(partitions, F.col(key)).cache()
     limit = Budget(time_limit)
     folds.count()

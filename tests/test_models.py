@@ -177,3 +177,14 @@ def test_oversampling_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a") for i in range(20)] + [(99, "b")], "id long, c string")
     copies = split.balance_classes(df, "c").groupBy("id").agg(F.collect_set("copy").alias("s")).collect()
     assert all(sorted(r["s"]) == (list(range(1, 21)) if r["id"] == 99 else [1]) for r in copies)
+
+
+def test_small_tables_get_few_fold_partitions(spark):
+    cores, usual = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        assert models.fold_partitions(spark.range(10)) == 2 * cores
+        assert models.fold_partitions(spark.range(2_000_000)) == max(2 * cores, 400)
+        assert models.fold_partitions(spark.range(900_000_000)) == 1800
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
