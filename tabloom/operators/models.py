@@ -242,6 +242,15 @@ def fit_all(
 ROWS_A_TASK, MOST_ROWS_A_TASK = 5_000, 500_000
 
 
+def fit_rows(encoded: DataFrame, key: str, rows: int) -> DataFrame:
+    """An encoded table of at most `rows` rows for fits that keep their rows: a table beyond `MOST_ROWS_A_TASK` is dealt
+    over enough tasks that each keeps no more than those, however large the parts are that it was read in."""
+    if rows <= MOST_ROWS_A_TASK:
+        return encoded
+    tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-rows // MOST_ROWS_A_TASK))
+    return encoded.repartition(tasks, F.col(f"`{key}`"), F.col("label"))
+
+
 def fold_partitions(encoded: DataFrame) -> int:
     """Partitions for fits on a table: the session's shuffle partitions, fewer for a small table (a boosted fit is
     hundreds of jobs, each with a task a partition), though two a core, and more for a large one."""
@@ -455,7 +464,7 @@ def fit_multilabel(
         encoded = encoded.cache()
         makers = candidates_for(task, labels, [family], **params)
         board = cv_leaderboard(cross_validate(encoded, key, makers, task, k, time_limit=share), task)
-        models[target] = TrainedModel(assembly, makers[family](SEED).fit(encoded), labels, target, task)
+        models[target] = TrainedModel(assembly, makers[family](SEED).fit(fit_rows(encoded, key, encoded.count())), labels, target, task)
         row = board.select(F.lit(target).alias("target"), F.col(DEFAULT_METRIC[task]).alias("best_score"))
         scores = row if scores is None else scores.unionByName(row)
     return models, scores
@@ -492,7 +501,7 @@ class Clusters:
 def rank_model(df: DataFrame, key: str, group: str, relevance: str, **params) -> tuple[TrainedModel, DataFrame]:
     """Pointwise learning to rank: regress the relevance, order inside each group by the score (ties by key)."""
     _, assembly, _, encoded = prepare(df, relevance, "regression", key, [group])
-    fitted = regressors(["gbt"], **params)["gbt"](SEED).fit(encoded)
+    fitted = regressors(["gbt"], **params)["gbt"](SEED).fit(fit_rows(encoded, key, df.count()))
     model = TrainedModel(assembly, fitted, None, relevance, "regression")
     scored = model.score(df).select(key, group, relevance, F.col("prediction").alias("score"))
     return model, group_rank(scored.withColumn("_down", -F.col("score")), [group], [F.col("_down"), F.col(key)], "position").drop("_down")
@@ -506,7 +515,7 @@ def fit_multimodal_table(df: DataFrame, target: str, key: str, family: str = "lr
     table = df.drop(*images)
     task, assembly, labels, encoded = prepare(table, target, None, key, text_columns=text, max_features=max_features)
     maker = candidates_for(task, labels, [family], **params)[family]
-    return TrainedModel(assembly, maker(SEED).fit(encoded), labels, target, task)
+    return TrainedModel(assembly, maker(SEED).fit(fit_rows(encoded, key, table.count())), labels, target, task)
 
 
 def train(
@@ -516,7 +525,7 @@ def train(
     """Prepare the table and fit one family on it, with `class_weight` "balanced" on rows weighted by their class."""
     task, assembly, labels, encoded = prepare(df, target, task, key, exclude, class_weight)
     maker = candidates_for(task, labels, [family], class_weight=class_weight, **params)[family]
-    return TrainedModel(assembly, maker(SEED).fit(encoded), labels, target, task)
+    return TrainedModel(assembly, maker(SEED).fit(fit_rows(encoded, key, df.count())), labels, target, task)
 
 
 def rounded_board(board: DataFrame) -> DataFrame:

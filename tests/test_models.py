@@ -188,3 +188,21 @@ def test_small_tables_get_few_fold_partitions(spark):
         assert models.fold_partitions(spark.range(900_000_000)) == 1800
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
+def test_a_fit_keeps_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    """A large table read in one part is dealt over tasks before a fit keeps its rows; a small one is left alone."""
+    monkeypatch.setattr(models, "MOST_ROWS_A_TASK", 100)
+    table = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    _, _, _, encoded = models.prepare(table, "y", "regression", "id")
+    dealt = models.fit_rows(encoded, "id", table.count())
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 40 and max(sizes) <= 200
+    nameless = models.fit_rows(encoded.withColumn("id", F.lit(None).cast("long")), "id", 4000)
+    assert nameless.count() == 4000
+    assert models.fit_rows(encoded, "id", 100) is encoded
+    asked = []
+    deal = models.fit_rows
+    monkeypatch.setattr(models, "fit_rows", lambda *a: asked.append(a[2]) or deal(*a))
+    models.train(table, "y", "id", "gbt", "regression", boosts=1, depth=2)
+    assert asked == [4000]
