@@ -15,7 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -62,10 +62,11 @@ class Tree:
         self.edge = np.zeros(size)  # largest value that goes left
         self.value = np.zeros((size, width))
 
-    def walk(self, rows: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """The node each row ends in; `by` is `cut` for bins and `edge` for values. A missing value goes left."""
+    def walk(self, rows: np.ndarray, by: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node each row ends in, or comes to after some levels; `by` is `cut` for bins and `edge` for values. A
+        missing value goes left."""
         at, index = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-        for _ in range(self.depth):
+        for _ in range(self.depth if levels is None else levels):
             f = self.feature[at]
             right = rows[index, np.maximum(f, 0)] > by[at]
             at = np.where(f < 0, at, 2 * at + 1 + right)
@@ -82,15 +83,31 @@ class Tree:
         return tree
 
 
-def _stack(column: pd.Series, kind=np.float64) -> np.ndarray:
-    return np.stack([np.frombuffer(v, dtype=np.uint8) if kind is np.uint8 else np.asarray(v, dtype=kind) for v in column])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists or bytes of one length as a matrix, without a step in Python for each row."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists of numbers."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(ends, np.ascontiguousarray(rows, dtype=np.float64).ravel())
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of small numbers as bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _histogram(
-    trees: list[Tree], opened: list[tuple[int, int, np.ndarray]], edges: list[np.ndarray], bins: int, shared: bool, width: int
+    trees: list[Tree], opened: list[tuple[int, int, np.ndarray]], level: int, edges: list[np.ndarray], bins: int, shared: bool, width: int
 ):
-    """Map of batches to cells. `opened` holds (tree, node, candidate features); a row has bins, sums and masses, which
-    are one set for all trees (`shared`) or one for each."""
+    """Map of batches to cells. `opened` holds (tree, node, candidate features) of a level; a row has bins, sums and
+    masses, which are one set for all trees (`shared`) or one for each."""
     m = len(opened[0][2])
     slots: dict[int, list[tuple[int, int]]] = {}
     for slot, (tree, node, _) in enumerate(opened):
@@ -98,17 +115,17 @@ def _histogram(
     wanted = np.stack([c for _, _, c in opened])
     names = [f"s{i}" for i in range(width)] + ["mass", "n"]
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((width + 2, len(opened) * m * (bins + 2)))
         for frame in frames:
-            if frame.empty:
+            if not frame.num_rows:
                 continue
-            rows, sums, masses = _stack(frame["bins"], np.uint8), _stack(frame["sums"]), _stack(frame["masses"])
+            rows, sums, masses = (_matrix(frame.column(c)) for c in ("bins", "sums", "masses"))
             for tree, nodes in slots.items():
                 place = np.full(len(trees[tree].feature), -1, dtype=np.int64)
                 for node, slot in nodes:
                     place[node] = slot
-                slot = place[trees[tree].walk(rows, trees[tree].cut)]
+                slot = place[trees[tree].walk(rows, trees[tree].cut, level)]
                 here = np.flatnonzero(slot >= 0)
                 if not len(here):
                     continue
@@ -123,9 +140,10 @@ def _histogram(
         at, number = np.divmod(met, bins + 2)
         slot, j = np.divmod(at, m)
         out = {"tree": np.array([t for t, _, _ in opened])[slot], "node": np.array([n for _, n, _ in opened])[slot]}
+        out |= {"feature": wanted[slot, j], "bin": number}
         edge = [edges[f][b] if b < len(edges[f]) else math.inf for f, b in zip(wanted[slot, j], number)]
-        out |= {"feature": wanted[slot, j], "bin": number, "edge": edge}
-        yield pd.DataFrame(out | {name: held[i][met] for i, name in enumerate(names)})
+        columns = {name: pa.array(c, pa.int32()) for name, c in out.items()} | {"edge": pa.array(edge, pa.float64())}
+        yield pa.RecordBatch.from_pydict(columns | {name: pa.array(held[i][met]) for i, name in enumerate(names)})
 
     schema = "tree int, node int, feature int, bin int, edge double, " + ", ".join(f"{n} double" for n in names)
     return cells, schema, names
@@ -187,8 +205,8 @@ def grow(
             wanted.append((t, node, np.sort(rng.choice(len(edges), tries, replace=False))))
         found = []
         for start in range(0, len(wanted), at_once):
-            cells, schema, names = _histogram(trees, wanted[start : start + at_once], edges, bins, shared, width)
-            splits = best_splits(frame.mapInPandas(cells, schema), names, ridge, min_rows, seed if random_cuts else None)
+            cells, schema, names = _histogram(trees, wanted[start : start + at_once], level, edges, bins, shared, width)
+            splits = best_splits(frame.mapInArrow(cells, schema), names, ridge, min_rows, seed if random_cuts else None)
             found += splits.collect()  # one row an open node
         opened = []
         for row in found:
@@ -219,13 +237,13 @@ class GrownModel(Stage):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         trees, kind, start = self.trees, self.kind, np.array(self.start)
 
-        @F.pandas_udf("array<double>")
-        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                known = batch.notna().to_numpy()
-                out: list = [None] * len(batch)
+                known = batch.is_valid().to_numpy(zero_copy_only=False)
+                out = pa.nulls(len(batch), pa.list_(pa.float64()))
                 if known.any():
-                    x = _stack(batch[known])
+                    x = _matrix(batch.drop_null())
                     total = np.tile(start, (len(x), 1))
                     for i, tree in enumerate(trees):
                         value = tree.value[tree.walk(x, tree.edge)]
@@ -235,9 +253,9 @@ class GrownModel(Stage):
                             total[:, i % len(start)] += value[:, 0]
                     if kind == "softmax":
                         total = _softmax(total)
-                    for i, row in zip(np.flatnonzero(known), total):
-                        out[i] = row.tolist()
-                yield pd.Series(out, dtype=object)
+                    # The place of a known row among the known ones; null for the others.
+                    out = _lists(total).take(pa.array(np.cumsum(known) - 1, mask=~known))
+                yield out
 
         values = F.when(F.col("features").isNotNull(), vector_to_array("features"))
         scored = dataset.withColumn("_scores", scores(values))
@@ -296,14 +314,14 @@ class _Grower(Estimator):
             raise ValueError("no rows to fit on")
         edges = bin_edges(table, head["n"], self.settings["bins"])
 
-        def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def numbered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                if not frame.empty:
-                    rows = binned(_stack(frame["x"]), edges)
-                    yield pd.DataFrame({"label": frame["label"], "weight": frame["weight"], "bins": [r.tobytes() for r in rows]})
+                if frame.num_rows:
+                    rows = binned(_matrix(frame.column("x")), edges)
+                    yield pa.RecordBatch.from_pydict({"label": frame.column("label"), "weight": frame.column("weight"), "bins": _bytes(rows)})
 
         wide = table.select("label", "weight", vector_to_array("features").alias("x"))
-        return wide.mapInPandas(numbered, "label double, weight double, bins binary").persist(StorageLevel.MEMORY_AND_DISK), edges
+        return wide.mapInArrow(numbered, "label double, weight double, bins binary").persist(StorageLevel.MEMORY_AND_DISK), edges
 
 
 def class_count(table: DataFrame) -> int:
@@ -360,7 +378,7 @@ class SoftmaxBoosting(_Grower):
         try:
             for _ in range(s["maxIter"]):
                 # From the binned rows and all trees so far, so that a lost part is made again in one step.
-                moved = table.mapInPandas(_gradients(list(trees), start), "bins binary, sums array<double>, masses array<double>")
+                moved = table.mapInArrow(_gradients(list(trees), start), "bins binary, sums array<double>, masses array<double>")
                 moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
                 grown = grow(
                     moved, classes, s["maxDepth"], edges, s["bins"], 1, False, s["ridge"], s["minInstancesPerNode"], len(edges),
@@ -376,18 +394,17 @@ class SoftmaxBoosting(_Grower):
 
 
 def _gradients(trees: list[Tree], start: list[float]):
-    def gradients(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gradients(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            if frame.empty:
+            if not frame.num_rows:
                 continue
-            rows = _stack(frame["bins"], np.uint8)
+            rows = _matrix(frame.column("bins"))
             margins = np.tile(np.array(start), (len(rows), 1))
             for i, tree in enumerate(trees):
                 margins[:, i % len(start)] += tree.value[tree.walk(rows, tree.cut), 0]
-            chance, weight = _softmax(margins), frame["weight"].to_numpy()[:, None]
-            own = frame["label"].to_numpy()[:, None] == np.arange(len(start))
-            yield pd.DataFrame(
-                {"bins": frame["bins"], "sums": list(weight * (own - chance)), "masses": list(weight * chance * (1 - chance))}
-            )
+            chance, weight = _softmax(margins), frame.column("weight").to_numpy()[:, None]
+            own = frame.column("label").to_numpy()[:, None] == np.arange(len(start))
+            sums, masses = weight * (own - chance), weight * chance * (1 - chance)
+            yield pa.RecordBatch.from_pydict({"bins": frame.column("bins"), "sums": _lists(sums), "masses": _lists(masses)})
 
     return gradients

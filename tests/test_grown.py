@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -144,3 +145,20 @@ def test_families_join_boards_only_when_named(spark):
     oof = models.cross_validate(encoded, "id", makers, task, 2)
     board = {r["model"]: r for r in models.cv_leaderboard(oof, task, "log_loss").collect()}
     assert set(board) == {"lr", "et", "softmax"} and board["softmax"]["accuracy"] == 1.0
+
+
+def test_columns_become_matrices_whole():
+    """Batches cut out of larger ones keep their rows, and a batch goes to NumPy without objects for its rows."""
+    numbers = np.arange(24, dtype=np.uint8).reshape(8, 3)
+    assert (grown._matrix(grown._bytes(numbers)[2:7]) == numbers[2:7]).all()
+    values = numbers / 7.0
+    assert (grown._matrix(grown._lists(values)[3:]) == values[3:]).all()
+    assert np.isnan(grown._matrix(pa.array([[1.0, None], [float("nan"), 2.0]], pa.list_(pa.float64())))).sum() == 2
+
+
+def test_scores_of_rows_without_a_vector_stay_null_in_their_places(spark):
+    tree = grown.Tree(1, 1)
+    tree.feature[0], tree.edge[0], tree.value[1:] = 0, 0.5, [[-1.0], [1.0]]
+    table = spark.range(0, 60, 1, 1).withColumn("features", F.when(F.col("id") % 3 > 0, array_to_vector(F.array((F.col("id") % 3 - 1).cast("double")))))
+    got = grown.GrownModel([tree], "mean", [0.0], None).transform(table).select("id", "prediction").collect()
+    assert [r["prediction"] for r in sorted(got)] == [None, -1.0, 1.0] * 20
