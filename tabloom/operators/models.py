@@ -259,19 +259,28 @@ def fold_partitions(encoded: DataFrame) -> int:
     return max(min(usual, 2 * cores), min(usual, rows // ROWS_A_TASK), rows // MOST_ROWS_A_TASK)
 
 
+def fold_table(
+    encoded: DataFrame, key: str, task: str, k: int = 3, seed: int = SEED, partitions: int | None = None
+) -> DataFrame:
+    """The encoded table with a fold for each row, dealt over `partitions` (default: `fold_partitions`) by a hash of the
+    key and cached."""
+    folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
+    return folds.repartition(partitions or fold_partitions(encoded), F.col(key)).cache()
+
+
 def cross_validate(
     encoded: DataFrame, key: str, makers: dict[str, Candidate], task: str, k: int = 3, seed: int = SEED, parallelism: int = 8,
-    partitions: int | None = None, time_limit: float | None = None,
+    partitions: int | None = None, time_limit: float | None = None, folds: DataFrame | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate.
 
     Rows are dealt over `partitions` (default: `fold_partitions`) by a hash of the key; tree fits
-    depend on that number, as their bagging is drawn per partition. With a limit in seconds, candidates whose folds
+    depend on that number, as their bagging is drawn per partition. A caller that judges more candidates on the same
+    rows gives their `fold_table` as `folds` and releases it. With a limit in seconds, candidates whose folds
     are not all fitted by then are left out; without any whole candidate `OutOfTime` is raised.
     """
-    folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
-    partitions = partitions or fold_partitions(encoded)
-    folds = folds.repartition(partitions, F.col(key)).cache()
+    if folds is None:
+        folds = fold_table(encoded, key, task, k, seed, partitions)
     limit = Budget(time_limit)
     folds.count()
 

@@ -159,13 +159,27 @@ def adaptive_search(
     metric = metric or M.DEFAULT_METRIC[task]
     sign, limit, number = (1 if metric in M.LOSSES else -1), Budget(time_limit), 0
 
+    dealt: dict[float, DataFrame] = {}
+
+    def rows_of(share: float) -> DataFrame:
+        """The folds of a share, dealt once for all batches of a rung; those of the rung before are released."""
+        if share not in dealt:
+            release()
+            rows = encoded if share >= 1 else encoded.where(seeded_hash(F.col(key), seed) < int(share * HASHES))
+            dealt[share] = M.fold_table(rows, key, task, k, seed)
+        return dealt[share]
+
+    def release() -> None:
+        for folds in dealt.values():
+            folds.unpersist()
+        dealt.clear()
+
     def judge(settings: list[dict], share: float) -> list[float]:
         if not settings:
             return []
-        rows = encoded if share >= 1 else encoded.where(seeded_hash(F.col(key), seed) < int(share * HASHES))
         makers = {str(i): M.tuned(maker, s) if s else maker for i, s in enumerate(settings)}
         try:
-            oof = M.cross_validate(rows, key, makers, task, k, seed, time_limit=limit.left())
+            oof = M.cross_validate(encoded, key, makers, task, k, seed, time_limit=limit.left(), folds=rows_of(share))
         except OutOfTime:
             return []
         found = {r["model"]: r[metric] for r in M.cv_leaderboard(oof, task, metric).collect()}  # one a setting
@@ -176,7 +190,10 @@ def adaptive_search(
             losses.append(math.inf if found[str(i)] is None else sign * found[str(i)])
         return losses
 
-    judged = halving(judge, space or SPACES[family], width, eta, least, seed=seed, first=[{}])
+    try:
+        judged = halving(judge, space or SPACES[family], width, eta, least, seed=seed, first=[{}])
+    finally:
+        release()
     if not judged:
         raise OutOfTime(f"nothing was judged within {time_limit} seconds")
     top = max(j["rung"] for j in judged)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import models, search
 
@@ -86,3 +87,21 @@ def test_finds_the_planted_regularisation(spark):
     assert settings and winner(1).getRegParam() == pytest.approx(settings["regParam"])
     scores = models.cv_leaderboard(models.cross_validate(encoded, "id", {"tuned": winner, "plain": maker}, task), task, "rmse").collect()
     assert scores[0]["model"] == "tuned"
+
+
+def test_rows_of_a_share_are_dealt_once_and_released(spark, monkeypatch):
+    """All batches of a rung meet one fold table, and no fold table outlives its rung."""
+    table = spark.range(0, 240, 1, 2).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    _, _, _, encoded = models.prepare(table, "y", "regression", "id")
+    dealt, deal = [], models.fold_table
+
+    def watched(*args):
+        assert not any(f.is_cached for f in dealt)
+        dealt.append(deal(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(models, "fold_table", watched)
+    maker = models.regressors(["lr"])["lr"]
+    board, _, _ = search.adaptive_search(encoded, "id", "lr", maker, "regression", "rmse", width=7, least=1 / 3, k=2)
+    assert board.count() >= 10 and len(dealt) == 2
+    assert not any(f.is_cached for f in dealt)
