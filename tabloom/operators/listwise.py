@@ -2,19 +2,24 @@
 
 A pair of rows of a group pulls them apart by as much as swapping them would change the group's NDCG at `depth`. Beyond
 that depth places count nothing, so only pairs with one of the first `depth` rows matter: each group is reduced to that
-short list, every row of the group meets the list only, and what the list's rows receive is summed up per row before
-it is shuffled. So a group costs its rows times `depth`, not their square, and a group with a third of all rows is spread
+short list, every row of the group meets the list once, a batch of rows at a time, and what the list's rows receive is
+summed up per batch and task before it is shuffled. So a group costs its rows times `depth`, not their square, and a group with a third of all rows is spread
 over all tasks. Each round fits one distributed regression tree on gradient over curvature, weighted by the curvature,
 which gives leaves their Newton step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tabloom.operators.models import SEED, prepare
 from tabloom.operators.pipelines import AssemblyStage, Stage, _read_json, _write_json
@@ -56,35 +61,71 @@ def ideal_gains(rows: DataFrame, depth: int) -> DataFrame:
     return ideal.where("_ideal > 0")
 
 
+def _pair_sums(frame: pa.RecordBatch, depth: int) -> pa.RecordBatch:
+    """_key, _pull and _bend of the rows of a batch, and those that they give to the listed rows of their groups."""
+    label, score, ideal = (frame.column(c).to_numpy() for c in ("label", "score", "_ideal"))
+    place = frame.column("_place").to_numpy()
+    lists = frame.column("_keys")
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    start, size, keys = ends[:-1], np.diff(ends), lists.flatten()
+    labels, scores = (frame.column(c).flatten().to_numpy() for c in ("_labels", "_scores"))
+    group = frame.column("_of").dictionary_encode().indices.to_numpy()
+    _, first = np.unique(group, return_index=True)  # groups are numbered as they come, so these are their first rows
+    cut, gain = np.where(place > 0, 1 / np.log2(np.maximum(place, 1) + 1.0), 0.0), np.exp2(label) - 1
+    pull, bend = np.zeros(len(label)), np.zeros(len(label))
+    given = []
+    # One listed row of every group at a time. Pairs of two listed rows are met from both sides already; of the others
+    # the listed row gets its share here.
+    for i in range(int(min(depth, size.max()))):
+        rows = np.flatnonzero(size > i)
+        at = start[rows] + i
+        other, own = labels[at], label[rows]
+        side = np.sign(own - other)
+        with np.errstate(over="ignore"):
+            chance = 1 / (1 + np.exp(side * (score[rows] - scores[at])))
+        worth = np.abs(gain[rows] - (np.exp2(other) - 1)) * np.abs(cut[rows] - 1 / np.log2(i + 2.0)) / ideal[rows]
+        worth = np.where(own != other, worth, 0.0)
+        pulls, bends = side * chance * worth, chance * (1 - chance) * worth
+        pull[rows] += pulls
+        bend[rows] += bends
+        theirs = (place[rows] == 0) & (own != other)
+        to = group[rows][theirs]
+        met = np.flatnonzero(np.bincount(to, minlength=len(first)))
+        sums = (np.bincount(to, weights=w[theirs], minlength=len(first))[met] for w in (-pulls, bends))
+        given.append((start[first[met]] + i, *sums))
+    at, down, curve = (np.concatenate(c) for c in zip(*given))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([frame.column("_key"), keys.take(pa.array(at))]),
+            pa.array(np.concatenate([pull, down])), pa.array(np.concatenate([bend, curve])),
+        ],
+        ["_key", "_pull", "_bend"],
+    )
+
+
 def pair_gradients(scored: DataFrame, ideal: DataFrame, depth: int) -> DataFrame:
     """_key, _pull and _bend (gradient and curvature) of every row from its pairs; `scored` has _key, _group, label
     and score, one row a key, and is stored."""
     first = F.row_number().over(W.partitionBy("_group").orderBy(F.desc("score"), "_key"))
     top = scored.withColumn("_place", first).where(F.col("_place") <= depth)
-    lists = top.groupBy("_group").agg(F.collect_list(F.struct("_key", "label", "score", "_place")).alias("_top"))  # `depth` a group
-    lists = lists.join(ideal, "_group").select(F.col("_group").alias("_of"), "_top", "_ideal")
+    lists = top.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_place", "_key", "label", "score"))).alias("_top"))  # `depth` a group
+    lists = lists.join(ideal, "_group").select(
+        F.col("_group").alias("_of"), F.col("_top._key").alias("_keys"), F.col("_top.label").alias("_labels"),
+        F.col("_top.score").alias("_scores"), "_ideal",
+    )
     met = join_lookup(scored, lists, F.col("_group") == F.col("_of"))
-    own = F.get(F.filter("_top", lambda t: t["_key"] == F.col("_key")), F.lit(0))["_place"]
-    placed = met.withColumn("_here", F.when(own.isNotNull(), _discount(own)).otherwise(F.lit(0.0))).withColumn("_listed", own.isNotNull())
-
-    def pair(t: Column) -> Column:
-        side = F.signum(F.col("label") - t["label"])
-        chance = 1 / (1 + F.exp(side * (F.col("score") - t["score"])))
-        worth = F.abs(_gain(F.col("label")) - _gain(t["label"])) * F.abs(F.col("_here") - _discount(t["_place"])) / F.col("_ideal")
-        return F.struct(
-            t["_key"].alias("other"), (side * chance * worth).alias("pull"), (chance * (1 - chance) * worth).alias("bend")
-        )
-
-    pairs = placed.withColumn("_pairs", F.transform(F.filter("_top", lambda t: t["label"] != F.col("label")), pair))
-
-    def total(field: str) -> Column:
-        return F.aggregate("_pairs", F.lit(0.0), lambda s, p: s + p[field])
-
-    mine = pairs.select("_key", total("pull").alias("_pull"), total("bend").alias("_bend"))
-    # Pairs of two listed rows were met from both sides already; of the others the listed row gets its share here.
-    theirs = pairs.where(~F.col("_listed")).select(F.inline("_pairs"))
-    theirs = theirs.groupBy(F.col("other").alias("_key")).agg((-F.sum("pull")).alias("_pull"), F.sum("bend").alias("_bend"))
-    return mine.unionByName(theirs).groupBy("_key").agg(F.sum("_pull").alias("_pull"), F.sum("_bend").alias("_bend"))
+    met = met.select(
+        "_key", "label", "score", F.array_position("_keys", F.col("_key")).alias("_place"), "_of", "_keys", "_labels", "_scores", "_ideal"
+    )
+
+    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            if frame.num_rows:
+                yield _pair_sums(frame, depth)
+
+    fields = [scored.schema["_key"], T.StructField("_pull", T.DoubleType()), T.StructField("_bend", T.DoubleType())]
+    parts = met.mapInArrow(sums, T.StructType(fields))
+    return parts.groupBy("_key").agg(F.sum("_pull").alias("_pull"), F.sum("_bend").alias("_bend"))
 
 
 class ListwiseModel:

@@ -48,6 +48,26 @@ def test_gradients_equal_the_sum_over_pairs(spark, depth):
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
+def test_rows_meet_their_list_once_and_in_batches(spark):
+    """Text keys, far scores and batches that cut groups; the lists are joined once and no row's list is walked alone."""
+    rng = np.random.default_rng(8)
+    rows = [(f"k{i:03d}", f"g{rng.integers(0, 9)}", float(rng.integers(0, 3)), float(rng.integers(-300, 300))) for i in range(120)]
+    scored = spark.createDataFrame(rows, "_key string, _group string, label double, score double").repartition(3)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pulls = listwise.pair_gradients(scored, listwise.ideal_gains(scored, 4), 4)
+        plan = pulls._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and plan.count("array_position") == 1
+        got = {r["_key"]: (r["_pull"], r["_bend"]) for r in pulls.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want = plain_gradients(rows, 4)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """Inside a group relevance follows x; most of its spread is between groups and follows six features of theirs."""
