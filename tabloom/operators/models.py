@@ -524,7 +524,13 @@ def fit_multimodal_table(df: DataFrame, target: str, key: str, family: str = "lr
     table = df.drop(*images)
     task, assembly, labels, encoded = prepare(table, target, None, key, text_columns=text, max_features=max_features)
     maker = candidates_for(task, labels, [family], **params)[family]
-    return TrainedModel(assembly, maker(SEED).fit(fit_rows(encoded, key, table.count())), labels, target, task)
+    # Kept while it is fitted, as every pass over it would split the texts into terms again.
+    rows = fit_rows(encoded, key, table.count()).cache()
+    try:
+        fitted = maker(SEED).fit(rows)
+    finally:
+        rows.unpersist()
+    return TrainedModel(assembly, fitted, labels, target, task)
 
 
 def train(

@@ -43,10 +43,11 @@ class TfIdf:
             raise ValueError("n-grams of 1 to 3 tokens")
         model = cls([], [], ngram_range, stop_words)
         # Terms of a row in order, each with whether it is the first of its kind there: one count by term then tells
-        # both how often it stands in the corpus and in how many rows.
-        sorted_terms = spread(df.select(column)).select(F.array_sort(model._terms(column)).alias("s"))
-        marked = F.transform("s", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("s", i - 1))).alias("first")))
-        terms = sorted_terms.select(F.inline(marked))
+        # both how often it stands in the corpus and in how many rows. Sorted and marked without a lambda, so that
+        # neither is interpreted term by term.
+        sorted_terms = spread(df.select(column)).select(F.sort_array(model._terms(column)).alias("s"))
+        placed = sorted_terms.select("s", F.posexplode("s").alias("i", "term"))
+        terms = placed.select("term", (~F.col("term").eqNullSafe(F.get("s", F.col("i") - 1))).alias("first"))
         counts = terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if("first").alias("rows"))
         top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # at most max_features rows
         model.vocabulary = [r["term"] for r in top]

@@ -206,3 +206,29 @@ def test_a_fit_keeps_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_rows", lambda *a: asked.append(a[2]) or deal(*a))
     models.train(table, "y", "id", "gbt", "regression", boosts=1, depth=2)
     assert asked == [4000]
+
+
+def test_a_table_with_text_is_kept_while_it_is_fitted(spark, monkeypatch):
+    """The fit passes over it many times, and each pass would split the texts into terms again; it is released after."""
+    words = ["good fine day out in the warm sun again", "poor cold rain falls on the grey town today"]
+    rows = [(i, words[i % 2], float(i), "ab"[i % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, body string, x double, kind string")
+    makers, kept = models.candidates_for, []
+
+    class Watched:
+        def __init__(self, estimator):
+            self.estimator = estimator
+
+        def fit(self, table):
+            kept.append((table, table.is_cached))
+            return self.estimator.fit(table)
+
+    def watched(*args, **params):
+        return {n: (lambda seed, m=m: Watched(m(seed))) for n, m in makers(*args, **params).items()}
+
+    monkeypatch.setattr(models, "candidates_for", watched)
+    model = models.fit_multimodal_table(df, "kind", "id")
+    [(table, cached)] = kept
+    assert cached and not table.storageLevel.useMemory
+    assert model.assembly.text == ["body"]
+    assert {r["id"]: r["Predictions"] for r in model.predict(df).collect()} == {r[0]: r[3] for r in rows}
