@@ -251,6 +251,16 @@ def fit_rows(encoded: DataFrame, key: str, rows: int) -> DataFrame:
     return encoded.repartition(tasks, F.col(f"`{key}`"), F.col("label"))
 
 
+#: Rows for each core whose fits run side by side: a tree fit keeps some 200 bytes a row as objects, and what does not
+#: fit into memory is read back from disk on every level of every tree.
+ROWS_A_CORE = 4_000_000
+
+
+def fits_at_once(rows: int, cores: int, most: int) -> int:
+    """Fits on tables of `rows` rows that run side by side: `most` on small tables, one on large ones."""
+    return max(1, min(most, ROWS_A_CORE * cores // max(1, rows)))
+
+
 def fold_partitions(encoded: DataFrame) -> int:
     """Partitions for fits on a table: the session's shuffle partitions, fewer for a small table (a boosted fit is
     hundreds of jobs, each with a task a partition), though two a core, and more for a large one."""
@@ -275,14 +285,15 @@ def cross_validate(
     """Out-of-fold predictions (model, fold, key, label, prediction, proba) of every candidate.
 
     Rows are dealt over `partitions` (default: `fold_partitions`) by a hash of the key; tree fits
-    depend on that number, as their bagging is drawn per partition. A caller that judges more candidates on the same
+    depend on that number, as their bagging is drawn per partition. At most `parallelism` fits run side by side, fewer on
+    large tables (`fits_at_once`). A caller that judges more candidates on the same
     rows gives their `fold_table` as `folds` and releases it. With a limit in seconds, candidates whose folds
     are not all fitted by then are left out; without any whole candidate `OutOfTime` is raised.
     """
     if folds is None:
         folds = fold_table(encoded, key, task, k, seed, partitions)
     limit = Budget(time_limit)
-    folds.count()
+    parallelism = fits_at_once(folds.count(), encoded.sparkSession.sparkContext.defaultParallelism, parallelism)
 
     def one(name: str, fold: int) -> DataFrame:
         model = makers[name](seed).fit(folds.where(F.col("fold") != fold))

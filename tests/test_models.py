@@ -232,3 +232,24 @@ def test_a_table_with_text_is_kept_while_it_is_fitted(spark, monkeypatch):
     assert cached and not table.storageLevel.useMemory
     assert model.assembly.text == ["body"]
     assert {r["id"]: r["Predictions"] for r in model.predict(df).collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_large_tables_are_fitted_one_at_a_time(spark, monkeypatch):
+    assert [models.fits_at_once(n, 12, 8) for n in (0, 3_600_000, 12_000_000, 36_000_000, 216_000_000)] == [8, 8, 4, 1, 1]
+    rows = [(i, float(i % 7), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    task, _, labels, encoded = models.prepare(df, "y", "regression", "id")
+    sides, run = [], models.run_within
+
+    def watched(spark, jobs, seconds, parallelism):
+        sides.append(parallelism)
+        return run(spark, jobs, seconds, parallelism)
+
+    monkeypatch.setattr(models, "run_within", watched)
+    makers = models.candidates_for(task, labels, ["lr"])
+    usual = models.cross_validate(encoded, "id", makers, task)
+    monkeypatch.setattr(models, "ROWS_A_CORE", 1)
+    alone = models.cross_validate(encoded, "id", makers, task)
+    assert sides == [8, 1]
+    key = ["id", "fold", "prediction"]
+    assert {tuple(r) for r in usual.select(key).collect()} == {tuple(r) for r in alone.select(key).collect()}
