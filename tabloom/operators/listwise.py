@@ -61,7 +61,11 @@ def ideal_gains(rows: DataFrame, depth: int) -> DataFrame:
     return ideal.where("_ideal > 0")
 
 
-def _pair_sums(frame: pa.RecordBatch, depth: int) -> pa.RecordBatch:
+#: Shares of listed rows that a task holds back.
+HELD_ROWS = 1_000_000
+
+
+def _pair_sums(frame: pa.RecordBatch, depth: int) -> list[pa.RecordBatch]:
     """_key, _pull and _bend of the rows of a batch, and those that they give to the listed rows of their groups."""
     label, score, ideal = (frame.column(c).to_numpy() for c in ("label", "score", "_ideal"))
     place = frame.column("_place").to_numpy()
@@ -94,13 +98,9 @@ def _pair_sums(frame: pa.RecordBatch, depth: int) -> pa.RecordBatch:
         sums = (np.bincount(to, weights=w[theirs], minlength=len(first))[met] for w in (-pulls, bends))
         given.append((start[first[met]] + i, *sums))
     at, down, curve = (np.concatenate(c) for c in zip(*given))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([frame.column("_key"), keys.take(pa.array(at))]),
-            pa.array(np.concatenate([pull, down])), pa.array(np.concatenate([bend, curve])),
-        ],
-        ["_key", "_pull", "_bend"],
-    )
+    columns = [(frame.column("_key"), pull, bend), (keys.take(pa.array(at)), down, curve)]
+    # A sum over no rows comes as whole numbers.
+    return [pa.RecordBatch.from_arrays([k, *(pa.array(x.astype(float)) for x in (p, c))], ["_key", "_pull", "_bend"]) for k, p, c in columns]
 
 
 def pair_gradients(scored: DataFrame, ideal: DataFrame, depth: int) -> DataFrame:
@@ -119,9 +119,19 @@ def pair_gradients(scored: DataFrame, ideal: DataFrame, depth: int) -> DataFrame
     )
 
     def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shares of listed rows come last where they are few: the order of the rows, on which the samples of tree cuts
+        # depend, then does not depend on the batches.
+        held, count = [], 0
         for frame in frames:
             if frame.num_rows:
-                yield _pair_sums(frame, depth)
+                own, theirs = _pair_sums(frame, depth)
+                yield own
+                held.append(theirs)
+                count += theirs.num_rows
+            if count > HELD_ROWS:
+                yield from held
+                held, count = [], 0
+        yield from held
 
     fields = [scored.schema["_key"], T.StructField("_pull", T.DoubleType()), T.StructField("_bend", T.DoubleType())]
     parts = met.mapInArrow(sums, T.StructType(fields))
