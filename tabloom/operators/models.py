@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref, string_columns
+from tabloom.operators import blocks
 from tabloom.operators.budget import Budget, OutOfTime, run_within
 from tabloom.operators.clean import drop_null_target, drop_targets, per_label_subset
 from tabloom.operators.encode import CategoryIndex, FeatureAssembly
@@ -229,13 +230,29 @@ def candidates_for(
     return regressors(include, exclude, **params)
 
 
+#: Rows beyond which forests and boosted trees of regressors are grown over blocks.
+MANY_ROWS = 2_000_000
+#: Fits over blocks that run side by side on any table: they keep little, and one fills the waits between the levels of another.
+BLOCK_FITS = 2
+
+
+def fitted(estimator, table: DataFrame, rows: int, packed: blocks.Packed | None = None, without: int | None = None):
+    """An estimator fitted on a table of about `rows` rows, whose blocks are in `packed` if they are shared."""
+    return blocks.fit(estimator, table, rows, packed, without) if rows > MANY_ROWS else estimator.fit(table)
+
+
 def fit_all(
-    encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 8, time_limit: float | None = None
+    encoded: DataFrame, makers: dict[str, Candidate], seed: int = SEED, parallelism: int = 8, time_limit: float | None = None,
+    rows: int = 0,
 ) -> dict[str, object]:
     """Fit every candidate; fits are submitted side by side so that small ones share the cluster. With a limit in
-    seconds only the candidates fitted by then come back."""
-    jobs = {name: (lambda make=make: make(seed).fit(encoded)) for name, make in makers.items()}
-    return run_within(encoded.sparkSession, jobs, time_limit, parallelism)
+    seconds only the candidates fitted by then come back. `rows` says how many the table has, if they may be many."""
+    packed = blocks.Packed(encoded, rows)
+    jobs = {name: (lambda make=make: fitted(make(seed), encoded, rows, packed)) for name, make in makers.items()}
+    try:
+        return run_within(encoded.sparkSession, jobs, time_limit, parallelism)
+    finally:
+        packed.release()
 
 
 #: Rows of a fold table that are worth a task of their own, and rows that one task may hold.
@@ -261,11 +278,12 @@ def fits_at_once(rows: int, cores: int, most: int) -> int:
     return max(1, min(most, ROWS_A_CORE * cores // max(1, rows)))
 
 
-def fold_partitions(encoded: DataFrame) -> int:
+def fold_partitions(encoded: DataFrame, rows: int | None = None) -> int:
     """Partitions for fits on a table: the session's shuffle partitions, fewer for a small table (a boosted fit is
     hundreds of jobs, each with a task a partition), though two a core, and more for a large one."""
     usual = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, cores = encoded.count(), encoded.sparkSession.sparkContext.defaultParallelism
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    rows = encoded.count() if rows is None else rows
     return max(min(usual, 2 * cores), min(usual, rows // ROWS_A_TASK), rows // MOST_ROWS_A_TASK)
 
 
@@ -273,9 +291,18 @@ def fold_table(
     encoded: DataFrame, key: str, task: str, k: int = 3, seed: int = SEED, partitions: int | None = None
 ) -> DataFrame:
     """The encoded table with a fold for each row, dealt over `partitions` (default: `fold_partitions`) by a hash of the
-    key and cached."""
-    folds = kfold_assign(encoded, F.col(key), k, "label" if task == "classification" else None, seed)
-    return folds.repartition(partitions or fold_partitions(encoded), F.col(key)).cache()
+    key and cached. Many rows of a regression are dealt by the hash that their folds come from, which saves a shuffle."""
+    by = "label" if task == "classification" else None
+    rows = encoded.count()
+    parts = partitions or fold_partitions(encoded, rows)
+    if task == "regression" and over_blocks(rows, k):
+        return kfold_assign(encoded, F.col(key), k, by, seed, parts).cache()
+    return kfold_assign(encoded, F.col(key), k, by, seed).repartition(parts, F.col(key)).cache()
+
+
+def over_blocks(rows: int, k: int) -> bool:
+    """Whether fits on all folds but one of a table are many rows."""
+    return rows * (k - 1) // k > MANY_ROWS
 
 
 def cross_validate(
@@ -293,16 +320,24 @@ def cross_validate(
     if folds is None:
         folds = fold_table(encoded, key, task, k, seed, partitions)
     limit = Budget(time_limit)
-    parallelism = fits_at_once(folds.count(), encoded.sparkSession.sparkContext.defaultParallelism, parallelism)
+    rows, packed = folds.count(), None
+    most, trained = parallelism, rows * (k - 1) // k
+    parallelism = fits_at_once(rows, encoded.sparkSession.sparkContext.defaultParallelism, parallelism)
+    if task == "regression" and over_blocks(rows, k):
+        packed, parallelism = blocks.Packed(folds, rows), max(parallelism, min(most, BLOCK_FITS))
 
     def one(name: str, fold: int) -> DataFrame:
-        model = makers[name](seed).fit(folds.where(F.col("fold") != fold))
+        model = fitted(makers[name](seed), folds.where(F.col("fold") != fold), trained, packed, fold)
         scored = model.transform(folds.where(F.col("fold") == fold))
         proba = class_probabilities(scored) if task == "classification" else F.array(F.col("prediction"))
         return scored.select(F.lit(name).alias("model"), "fold", key, "label", "prediction", proba.alias("proba"))
 
     jobs = {(name, fold): (lambda name=name, fold=fold: one(name, fold)) for name, fold in itertools.product(makers, range(k))}
-    done = run_within(encoded.sparkSession, jobs, limit.left(), parallelism)
+    try:
+        done = run_within(encoded.sparkSession, jobs, limit.left(), parallelism)
+    finally:
+        if packed is not None:
+            packed.release()
     parts = [p for (name, _), p in done.items() if all((name, fold) in done for fold in range(k))]
     if not parts:
         raise OutOfTime(f"no candidate was fitted on all folds within {time_limit} seconds")

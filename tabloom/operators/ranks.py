@@ -135,8 +135,9 @@ def with_hash(df: DataFrame, key: Column, seed: int) -> DataFrame:
     return keyed.withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
 
 
-def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: str) -> DataFrame:
-    """0-based position inside each group in seeded order: slice offset plus place inside the slice."""
+def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: str, partitions: int | None = None) -> DataFrame:
+    """0-based position inside each group in seeded order: slice offset plus place inside the slice. With `partitions`
+    the rows lie in that many parts afterwards, dealt by slice, and are shuffled only once."""
     hashed = with_hash(df, key, seed)
     keys = [*by, "_slice"]
     sizes = hashed.groupBy(*keys).agg(F.count("*").alias("_size"))
@@ -145,6 +146,10 @@ def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: st
     offsets = sizes.select(
         *[F.col(c).alias(f"_o_{c}") for c in keys], F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
+    if partitions is not None:
+        hashed = hashed.repartition(partitions, "_slice")
+    if not by:
+        offsets = F.broadcast(offsets)  # a row a slice
     inside = hashed.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy("_hash", "_key")))
     on = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys]
     joined = inside.join(offsets, on)

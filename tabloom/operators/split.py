@@ -114,11 +114,14 @@ def chronological_split(
     return df.withColumn("split", F.when(train, "train").when(before_test, "valid").otherwise("test"))
 
 
-def kfold_assign(df: DataFrame, key: Column, k: int = 5, by: str | None = None, seed: int = 42) -> DataFrame:
-    """Column `fold` 0..k-1 with sizes equal to within one row, per class when `by` is given."""
+def kfold_assign(
+    df: DataFrame, key: Column, k: int = 5, by: str | None = None, seed: int = 42, partitions: int | None = None
+) -> DataFrame:
+    """Column `fold` 0..k-1 with sizes equal to within one row, per class when `by` is given; with `partitions` the rows
+    lie in that many parts of about one size."""
     if not 2 <= k <= 10:
         raise ValueError("k must be between 2 and 10")
-    placed = hash_position(df, [by] if by else [], key, seed, "_position")
+    placed = hash_position(df, [by] if by else [], key, seed, "_position", partitions)
     return placed.withColumn("fold", F.pmod(F.col("_position"), F.lit(k)).cast("int")).drop("_position")
 
 
