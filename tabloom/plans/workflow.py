@@ -49,7 +49,8 @@ def holdout_scores(df: DataFrame, target: str, key: str, task: str | None = None
     test = parted.where("split = 'test'").drop("split")
     task, assembly, labels, encoded = M.prepare(train, target, task, key)
     makers = M.candidates_for(task, labels, include, **params)
-    fitted = M.fit_all(M.fit_rows(encoded, key, df.count()).cache(), makers)
+    rows = df.count()
+    fitted = M.fit_all(M.fit_rows(encoded, key, rows).cache(), makers, rows=rows * (100 - test_pct) // 100)
     # A class that only the test part has counts as wrong for every model.
     return M.group_scores(scores_on(fitted, encode_truth(assembly, labels, test, target).cache(), task), ["model"], task)
 
