@@ -148,8 +148,7 @@ def hash_position(df: DataFrame, by: list[str], key: Column, seed: int, name: st
     )
     if partitions is not None:
         hashed = hashed.repartition(partitions, "_slice")
-    if not by:
-        offsets = F.broadcast(offsets)  # a row a slice
+        offsets = offsets if by else F.broadcast(offsets)  # a row a slice
     inside = hashed.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy("_hash", "_key")))
     on = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys]
     joined = inside.join(offsets, on)
